@@ -31,8 +31,8 @@ def fdiv(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    """Bound x to [lo, hi]; null stays null (least/greatest alone would skip it)."""
-    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
+    """Bound x to [lo, hi]; null and NaN give null (least/greatest alone would skip or saturate)."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def flag(cond: Column) -> Column:
