@@ -32,15 +32,16 @@ def number_rows(
     key: Sequence[str] = ("symbol",),
     time: str = "time",
     order: Sequence[str] | None = None,
-    chunk: str = "month",
+    chunk: str | Column = "month",
 ) -> DataFrame:
     """Add ``_t``, the 0-based position of a row within its key in the given order.
 
-    ``order`` must start with ``time``. ``chunk`` is the calendar unit rows are ranked in.
+    ``order`` must start with ``time``. Rows are ranked inside chunks: a calendar unit of ``time``, or
+    any column that grows with the order. With an empty key the whole table is numbered.
     """
     order = list(order or [time])
     key = list(key)
-    df = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)))
+    df = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk)
     sizes = df.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(

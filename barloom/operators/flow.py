@@ -109,11 +109,16 @@ def windows(s: Series, short_interest: str | None = None) -> Series:
     )
 
 
-def recursive(s: Series) -> Series:
-    """The never-reset volume-weighted price, and the composites that need it. Ends zero-filled."""
+def specs() -> dict:
+    """Running totals of the never-reset volume-weighted price, for ``Series.accumulate``."""
     c = F.col
     typical = (c("high") + c("low") + c("close")) / 3
-    s = s.accumulate({"_value": (typical * c("volume"), 1.0), "_volume": (c("volume").cast("double"), 1.0)})
+    return {"_value": (typical * c("volume"), 1.0), "_volume": (c("volume").cast("double"), 1.0)}
+
+
+def finish(s: Series) -> Series:
+    """Distance to the running volume-weighted price, and the composites. Ends zero-filled."""
+    c = F.col
     s = s.with_columns(_vwap=fdiv(c("_value"), c("_volume")))
     s = s.with_columns(vwap_divergence=clip(fdiv(c("close") - c("_vwap"), c("_vwap")), -0.1, 0.1) * 10)
     s = s.with_columns(
@@ -127,7 +132,8 @@ def recursive(s: Series) -> Series:
 
 def add_flow(bars: DataFrame, *, short_interest: str | None = None, **how) -> DataFrame:
     """Bars with the whole flow family. ``short_interest`` names a percent column, if there is one."""
-    return recursive(windows(Series.of(bars, behind=BEHIND, **how), short_interest)).own()
+    s = windows(Series.of(bars, behind=BEHIND, **how), short_interest)
+    return finish(s.accumulate(specs())).own()
 
 
 def latest_signals(flow: DataFrame) -> DataFrame:

@@ -95,24 +95,36 @@ def windows(s: Series) -> Series:
     return s.drop("_prev", "_gain", "_loss", "_tr", "_c5", "_c10", "_c20")
 
 
-def recursive(s: Series) -> Series:
-    """Exponential averages and MACD with one carry over block borders.
+ALL_SPANS = sorted({*SPANS, 9, 12, 26})
+
+
+def specs() -> dict:
+    """Running averages the family needs, for ``Series.accumulate``."""
+    return {f"ema_{n}": span_term("close", n) for n in ALL_SPANS}
+
+
+def smoothed(n: int, m: int = 9):
+    """Average of span m over the average of span n, from the plain averages of both spans."""
+    p, q = 1 - 2 / (n + 1), 1 - 2 / (m + 1)
+    return ((1 - q) * p / (p - q)) * F.col(f"ema_{n}") - ((1 - p) * q / (p - q)) * F.col(f"ema_{m}")
+
+
+def finish(s: Series) -> Series:
+    """MACD columns from the accumulated averages.
 
     The signal line is an average (span 9) of a difference of averages (spans 12 and 26). Averaging
     an average of span n again with span m gives, for p = 1 - 2/(n+1) and q = 1 - 2/(m+1),
     ``((1-q) p E_n - (1-p) q E_m) / (p - q)``; so E_9 of the close is all that is needed besides.
     """
-    spans = sorted({*SPANS, 9, 12, 26})
-    s = s.accumulate({f"ema_{n}": span_term("close", n) for n in spans})
-    e = {n: F.col(f"ema_{n}") for n in spans}
-
-    def smoothed(n: int, m: int = 9):
-        p, q = 1 - 2 / (n + 1), 1 - 2 / (m + 1)
-        return ((1 - q) * p / (p - q)) * e[n] - ((1 - p) * q / (p - q)) * e[m]
-
+    e = {n: F.col(f"ema_{n}") for n in ALL_SPANS}
     s = s.with_columns(macd=e[12] - e[26], macd_signal=smoothed(12) - smoothed(26))
     s = s.with_columns(macd_histogram=F.col("macd") - F.col("macd_signal"))
-    return s.drop(*(f"ema_{n}" for n in spans if n not in SPANS))
+    return s.drop(*(f"ema_{n}" for n in ALL_SPANS if n not in SPANS))
+
+
+def recursive(s: Series) -> Series:
+    """Exponential averages and MACD, with one carry over block borders."""
+    return finish(s.accumulate(specs()))
 
 
 def add_technical(bars: DataFrame, *, ema: bool = True, **how) -> DataFrame:
@@ -210,10 +222,6 @@ def add_live(bars: DataFrame, **how) -> DataFrame:
         }
     )
 
-    def smoothed(n: int, m: int = 9):
-        p, q = 1 - 2 / (n + 1), 1 - 2 / (m + 1)
-        return ((1 - q) * p / (p - q)) * c(f"ema_{n}") - ((1 - p) * q / (p - q)) * c(f"ema_{m}")
-
     before = c("obv") - c("_flow")
     band = c("bb_upper") - c("bb_lower")
     s = s.with_columns(

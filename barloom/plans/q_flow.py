@@ -60,7 +60,7 @@ def _flow(columns: str) -> str:
 
 
 def _flow_query(spark, sf, columns):
-    return FL.add_flow(V.weekly_bars(spark, sf)).select("symbol", "time", *columns.split())
+    return FL.add_flow(V.weekly_layer(spark, sf)).select("symbol", "time", *columns.split())
 
 
 VOLUME_BLOCK = "unusual_volume block_trade_prob pv_divergence"
@@ -102,7 +102,7 @@ def flow_weak_squeeze(spark, sf):
 )
 def flow_latest_signals(spark, sf):
     """Newest flow summary per symbol with its reading."""
-    return FL.latest_signals(FL.add_flow(V.weekly_bars(spark, sf)))
+    return FL.latest_signals(FL.add_flow(V.weekly_layer(spark, sf)))
 
 
 @query(
@@ -136,7 +136,7 @@ def flow_with_short_interest(spark, sf):
     si = V.table(spark, sf, "nation").select(
         F.col("n_name").alias("symbol"), (F.col("n_nationkey") + F.lit(15.0)).alias("si")
     )
-    bars = V.weekly_bars(spark, sf).join(si, "symbol")
+    bars = V.weekly_layer(spark, sf).join(si, "symbol")
     return FL.add_flow(bars, short_interest="si").select("symbol", "time", "squeeze_potential")
 
 
@@ -162,7 +162,7 @@ def _proxy(items: dict[str, str]) -> str:
 
 
 def _proxy_query(spark, sf, items):
-    df = P.add_proxy(V.weekly_bars(spark, sf), V.benchmark_bars(spark, sf))
+    df = P.add_proxy(V.weekly_layer(spark, sf), V.benchmark_layer(spark, sf))
     return df.select("symbol", "time", *items)
 
 
@@ -218,5 +218,5 @@ def proxy_composite(spark, sf):
 )
 def news_intensity(spark, sf):
     """News intensity from volume, gap and range."""
-    df = P.add_proxy(V.weekly_bars(spark, sf), V.benchmark_bars(spark, sf))
+    df = P.add_proxy(V.weekly_layer(spark, sf), V.benchmark_layer(spark, sf))
     return df.select("symbol", "time", "news_intensity")

@@ -32,7 +32,7 @@ SMA = f"""
 )
 def technical_sma_bollinger(spark, sf):
     """Returns, moving averages, Bollinger bands."""
-    df = T.add_technical(V.weekly_bars(spark, sf), ema=False)
+    df = T.add_technical(V.weekly_layer(spark, sf), ema=False)
     return df.select(
         "symbol", "time", "returns", "log_returns", "sma_5", "sma_10", "sma_20", "sma_50", "sma_200", "bb_std",
         "bb_middle", "bb_upper", "bb_lower", "price_sma_20_ratio", "price_sma_50_ratio", "bb_width", "bb_position",
@@ -54,7 +54,7 @@ def technical_sma_bollinger(spark, sf):
 )
 def technical_rsi_atr(spark, sf):
     """RSI, ATR and annualised volatility."""
-    df = T.add_technical(V.weekly_bars(spark, sf), ema=False)
+    df = T.add_technical(V.weekly_layer(spark, sf), ema=False)
     return df.select("symbol", "time", "rsi_14", "atr_14", "volatility_20")
 
 
@@ -73,7 +73,7 @@ def technical_rsi_atr(spark, sf):
 )
 def technical_momentum_range(spark, sf):
     """Volume ratio, momentum, ranges and gaps."""
-    df = T.add_technical(V.weekly_bars(spark, sf), ema=False)
+    df = T.add_technical(V.weekly_layer(spark, sf), ema=False)
     return df.select(
         "symbol", "time", "volume_sma_20", "volume_ratio", "momentum_1", "momentum_5", "momentum_10", "momentum_20",
         "daily_range", "high_20", "low_20", "position_in_range", "gap",
@@ -92,7 +92,7 @@ def technical_momentum_range(spark, sf):
 )
 def technical_ema_macd(spark, sf):
     """Exponential averages and MACD."""
-    df = T.add_exponential(V.weekly_bars(spark, sf))
+    df = T.add_exponential(V.weekly_layer(spark, sf))
     return df.select(
         "symbol", "time", "ema_5", "ema_10", "ema_20", "ema_50", "ema_200", "macd", "macd_signal", "macd_histogram"
     )
@@ -108,7 +108,7 @@ def technical_ema_macd(spark, sf):
 )
 def trend_days_listed(spark, sf):
     """Trend flag, 20-row momentum and row counter on daily bars (several blocks per symbol)."""
-    return T.add_trend(V.daily_bars(spark, sf)).select("symbol", "time", "trend", "momentum", "days_listed")
+    return T.add_trend(V.daily_layer(spark, sf)).select("symbol", "time", "trend", "momentum", "days_listed")
 
 
 @query(
@@ -126,7 +126,7 @@ def trend_days_listed(spark, sf):
 )
 def technical_macd_daily(spark, sf):
     """MACD on long daily series, where averages are carried over block borders."""
-    return T.add_exponential(V.daily_bars(spark, sf)).select("symbol", "time", "macd", "macd_signal")
+    return T.add_exponential(V.daily_layer(spark, sf)).select("symbol", "time", "macd", "macd_signal")
 
 
 def _live_sql() -> str:
@@ -165,7 +165,7 @@ def _live_sql() -> str:
 @query(final(_live_sql(), " ".join(T.LIVE_FEATURES)))
 def technical_live_style(spark, sf):
     """Live-style indicators: smoothed RSI, population deviations, neutral warm-up."""
-    return T.add_live(V.weekly_bars(spark, sf)).select("symbol", "time", *T.LIVE_FEATURES)
+    return T.add_live(V.weekly_layer(spark, sf)).select("symbol", "time", *T.LIVE_FEATURES)
 
 
 @query(
@@ -175,7 +175,7 @@ def technical_live_style(spark, sf):
 )
 def live_history(spark, sf):
     """Bar history kept for live scoring: the last sequence + 50 bars; ready from sequence + 20."""
-    kept = L.last_n(V.weekly_bars(spark, sf), 110, order=("time",))
+    kept = L.last_n(V.weekly_layer(spark, sf), 110, order=("time",))
     return kept.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_bars"), F.min("time").alias("oldest"), (F.count(F.lit(1)) >= 80).alias("ready")
     )
@@ -193,7 +193,7 @@ def live_history(spark, sf):
 )
 def market_beta(spark, sf):
     """Beta against the all-market series over 60 rows."""
-    df = T.add_beta(V.weekly_bars(spark, sf), V.benchmark_bars(spark, sf))
+    df = T.add_beta(V.weekly_layer(spark, sf), V.benchmark_layer(spark, sf))
     return df.select("symbol", "time", "beta")
 
 
@@ -209,7 +209,7 @@ def market_beta(spark, sf):
 )
 def technical_history_names(spark, sf):
     """The history layer's names of the same indicators."""
-    df = T.add_downloader_style(V.weekly_bars(spark, sf))
+    df = T.add_downloader_style(V.weekly_layer(spark, sf))
     return df.select(
         "symbol", "time", "price_to_sma50", "price_to_sma200", "volume_ma_20", "volatility_20d", "days_listed", "trend"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import bars_from_ticks
+from barloom.sources.stage import layer
 
 TICK_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
 
@@ -47,6 +48,21 @@ def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(ticks, "week", time="l_shipdate", order=TICK_ORDER)
 
 
+# The bar layers the indicator queries read, like any store of bars: built from the trades once.
+
+
+def weekly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer(spark, f"weekly {sf_dir}", lambda: weekly_bars(spark, sf_dir))
+
+
+def daily_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer(spark, f"daily {sf_dir}", lambda: daily_bars(spark, sf_dir))
+
+
+def benchmark_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer(spark, f"benchmark {sf_dir}", lambda: benchmark_bars(spark, sf_dir))
+
+
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event log as trades: one symbol per user."""
     return table(spark, sf_dir, "events").select(
@@ -88,7 +104,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name").alias("symbol"),
             F.substring("text", 1, 80).alias("title"),
             names[(F.col("doc_id") % 8).cast("int")].alias("source"),
-            F.concat_ws("/", "source", F.col("doc_id") % 97).alias("url"),
+            F.col("source").alias("url"),
             (
                 F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
                 + F.make_dt_interval(mins=(F.col("doc_id") * 10).cast("int"))
@@ -140,7 +156,7 @@ QUOTES = """quotes AS (
 ARTICLES = """articles AS (
   SELECT d.doc_id AS article_id, n_name AS symbol, substr(d.text, 1, 80) AS title,
          ['reuters', 'bloomberg', 'wsj', 'cnbc', 'benzinga', 'seekingalpha', 'motleyfool', 'unknown'][1 + d.doc_id % 8] AS source,
-         concat(d.source, '/', d.doc_id % 97) AS url,
+         d.source AS url,
          TIMESTAMP '2024-01-01' + to_minutes(d.doc_id * 10) AS published,
          CASE WHEN l.quality IS NOT NULL
               THEN greatest(-1.0, least(1.0, l.quality - l.toxic - 0.5))::DOUBLE END AS sentiment,
