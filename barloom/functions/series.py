@@ -189,6 +189,17 @@ class Series:
         drop = [*local, *(f"_{n}_carry" for n in specs)]
         return Series(joined.withColumns(outs).drop(*drop), self.key, self.size)
 
+    def running_max(self, name: str, c: str) -> "Series":
+        """Add the largest value of ``c`` so far: inside the block, and over the blocks before it."""
+        frame = self.df.withColumn("_v", F.when(F.col("_own"), F.col(c)))
+        tops = frame.filter("_own").groupBy(*self.key, "_blk").agg(F.max("_v").alias("_top"))
+        earlier = Window.partitionBy(*self.key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        before = tops.select(*self.key, "_blk", F.max("_top").over(earlier).alias("_before"))
+        inside = F.max("_v").over(self.w.rowsBetween(Window.unboundedPreceding, 0))
+        out = frame.withColumn("_in", inside).join(before, [*self.key, "_blk"], "left")
+        out = out.withColumn(name, F.greatest("_in", "_before")).drop("_v", "_in", "_before")
+        return Series(out, self.key, self.size)
+
 
 def ewm_term(c: str, alpha: float, start: int = 0) -> tuple[Column, float]:
     """Term and decay of the recursive average seeded with the value at position ``start``."""

@@ -71,8 +71,10 @@ def portfolio_metrics(returns: DataFrame, *, key: tuple[str, ...] = ("symbol",),
     """
     rows = returns.filter(F.col("r").isNotNull()).withColumn("_l", F.log1p("r"))
     s = Series.of(rows, behind=0, key=key, **how).accumulate({"_wealth": (F.col("_l"), 1.0)})
-    own = s.df.filter("_own")
-    draw = drawdown(own, list(key))
+    s = s.running_max("_peak", "_wealth")
+    # the line starts from 1, so the peak is never below log 1 = 0
+    fall = 1 - F.exp(F.col("_wealth") - F.greatest(F.col("_peak"), F.lit(0.0)))
+    draw = s.own().groupBy(*key).agg(F.max(fall).alias("max_drawdown"))
     base = rows.groupBy(*key).agg(
         (F.exp(F.sum("_l")) - 1).alias("total_return"),
         (ratio(F.avg("r"), F.stddev_samp("r")) * math.sqrt(252)).alias("sharpe_ratio"),
@@ -84,20 +86,6 @@ def portfolio_metrics(returns: DataFrame, *, key: tuple[str, ...] = ("symbol",),
     return base.join(draw, list(key))
 
 
-def drawdown(own: DataFrame, key: list[str]) -> DataFrame:
-    """Largest fall of ``_wealth`` (log) below its running peak, as a fraction, per key."""
-    from pyspark.sql import Window
-
-    inside = Window.partitionBy(*key, "_blk").orderBy("_t").rowsBetween(Window.unboundedPreceding, 0)
-    peaks = own.groupBy(*key, "_blk").agg(F.max("_wealth").alias("_peak"))
-    earlier = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    before = peaks.select(*key, "_blk", F.max("_peak").over(earlier).alias("_before"))
-    line = own.withColumn("_in", F.max("_wealth").over(inside)).join(before, [*key, "_blk"])
-    # the line starts from 1, so the peak is never below log 1 = 0
-    fall = 1 - F.exp(F.col("_wealth") - F.greatest(F.col("_in"), F.col("_before"), F.lit(0.0)))
-    return line.groupBy(*key).agg(F.max(fall).alias("max_drawdown"))
-
-
 def trade_metrics(trades: DataFrame, *, key: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Average duration in days, win rate and profit factor of closed trades (opened_at, closed_at, pnl)."""
     seconds = F.timestamp_diff("SECOND", F.col("opened_at"), F.col("closed_at"))

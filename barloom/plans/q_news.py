@@ -206,10 +206,10 @@ GRAPH = f"""g0 AS (SELECT doc_id, source, n_chars, concat('http://n.example/', d
    DATE '2024-01-01' + CAST(doc_id % 60 AS INTEGER) AS date, ((doc_id * 7) % 41 - 20) / 2.0::DOUBLE AS tv FROM documents),
   g1 AS (SELECT doc_id, date, url, source, CASE WHEN doc_id % 29 <> 0 AND doc_id % 31 = 0 THEN NULL ELSE tv END AS tone,
     CASE WHEN th = '' THEN [] ELSE string_split(th, ';') END AS themes,
-    list_filter(list_transform(string_split(og, ';'), o -> lower(o)), o -> o <> '') AS organizations,
+    list_filter(list_transform(string_split(og, ';'), lambda o: lower(o)), lambda o: o <> '') AS organizations,
     CASE WHEN doc_id % 29 = 0 OR doc_id % 31 = 0 THEN 0 ELSE n_chars END::INTEGER AS word_count
     FROM g0 WHERE doc_id % 41 <> 0 AND doc_id % 37 <> 0 AND doc_id % 43 <> 0),
-  rel AS (SELECT * FROM g1 WHERE len(list_filter(themes, t -> regexp_matches(upper(t), '{"|".join(G.THEME_TOKENS)}'))) > 0),
+  rel AS (SELECT * FROM g1 WHERE len(list_filter(themes, lambda t: regexp_matches(upper(t), '{"|".join(G.THEME_TOKENS)}'))) > 0),
   co AS (SELECT * FROM {_values(list(TX.COMPANIES.items()), "name, ticker")}),
   men AS (SELECT DISTINCT doc_id, date, url, source, tone, word_count, ticker FROM (SELECT *, unnest(organizations) AS org FROM rel) x
     JOIN co ON co.name = trim(x.org))"""
