@@ -299,9 +299,9 @@ def market_status(spark, sf):
 # -- messages ------------------------------------------------------------------------------------
 
 
-def _messages(spark, sf):
+def _messages(spark, sf, ticks=None):
     """Every event as a vendor message: objects, arrays, status lines, items without a kind, broken text."""
-    t = V.event_ticks(spark, sf)
+    t = V.event_ticks(spark, sf) if ticks is None else ticks
     ns = MS.timestamp_to_ns(F.col("time"))
     cond = F.array(*(F.lit(i) for i in range(6)))
     trade = F.to_json(F.struct(F.lit("T").alias("ev"), F.col("symbol").alias("sym"), ns.alias("t"), F.col("price").alias("p"),
