@@ -9,6 +9,7 @@ holds a large part of the table. Every trailing window in this package therefore
 2. ``Series.of`` sends row ``_t`` to block ``_t div size`` and, when a window reaches over a block
    border, also to the neighbouring blocks that look at it. Windows run on (key, block), so the
    largest group is ``size + behind + ahead`` rows, whatever the skew.
+   A stored layer that already has ``_t`` skips step 1.
 3. Running totals and recursive averages (``accumulate``) are computed inside each block and
    completed with a carry from the preceding blocks, read from one summary row per block.
 
@@ -23,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.sources.stage import stage
+
 SIZE = 1024
 
 
@@ -33,12 +36,21 @@ def number_rows(
     time: str = "time",
     order: Sequence[str] | None = None,
     chunk: str | Column = "month",
+    staged: bool = False,
 ) -> DataFrame:
     """Add ``_t``, the 0-based position of a row within its key in the given order.
 
     ``order`` must start with ``time``. Rows are ranked inside chunks: a calendar unit of ``time``, or
     any column that grows with the order. With an empty key the whole table is numbered.
+
+    Counting and ranking both read ``df``. Where it is costly (joined, aggregated), ``staged`` writes it
+    to the shared folder first, so that it is computed once. A stored table that has ``_t`` (all rows of
+    its keys) is left as it is: numbering is part of building a bar layer, not of every query.
     """
+    if "_t" in df.columns:
+        return df
+    if staged:
+        df = stage(df, "rows")
     order = list(order or [time])
     key = list(key)
     df = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk)
@@ -59,10 +71,11 @@ def number_rows(
 class Series:
     """Keyed, ordered rows cut into overlapping blocks."""
 
-    def __init__(self, df: DataFrame, key: Sequence[str], size: int):
+    def __init__(self, df: DataFrame, key: Sequence[str], size: int, numbered: bool = False):
         self.df = df
         self.key = list(key)
         self.size = size
+        self.numbered = numbered
         self.w = Window.partitionBy(*self.key, "_blk").orderBy("_t")
 
     @classmethod
@@ -77,31 +90,36 @@ class Series:
         order: Sequence[str] | None = None,
         chunk: str = "month",
         size: int | None = None,
+        staged: bool = False,
     ) -> "Series":
         """Cut ``df`` into blocks whose windows may look ``behind`` / ``ahead`` rows past the border.
 
-        A frame that already carries ``_t`` (a stored, numbered table) is not numbered again.
+        A frame that already carries ``_t`` (a stored, numbered table) is not numbered again, and the
+        result carries it on.
         """
         size = size or SIZE
-        if "_t" not in df.columns:
-            df = number_rows(df, key=key, time=time, order=order, chunk=chunk)
+        numbered = "_t" in df.columns
+        df = number_rows(df, key=key, time=time, order=order, chunk=chunk, staged=staged)
         home = F.floor(F.col("_t") / size)
         first = F.greatest(F.lit(0), F.floor((F.col("_t") - ahead) / size))
         last = F.floor((F.col("_t") + behind) / size)
         cut = df.withColumn("_home", home).withColumn("_blk", F.explode(F.sequence(first, last)))
         cut = cut.withColumn("_own", F.col("_blk") == F.col("_home")).drop("_home")
-        return cls(cut, key, size)
+        return cls(cut, key, size, numbered)
+
+    def _with(self, df: DataFrame) -> "Series":
+        return Series(df, self.key, self.size, self.numbered)
 
     def with_columns(self, **cols: Column) -> "Series":
-        return Series(self.df.withColumns(cols), self.key, self.size)
+        return self._with(self.df.withColumns(cols))
 
     def drop(self, *cols: str) -> "Series":
-        return Series(self.df.drop(*cols), self.key, self.size)
+        return self._with(self.df.drop(*cols))
 
-    def own(self, keep_t: bool = False) -> DataFrame:
-        """Each input row once, with everything computed on it."""
+    def own(self, keep_t: bool | None = None) -> DataFrame:
+        """Each input row once, with everything computed on it; ``_t`` stays if the input had it."""
         out = self.df.filter("_own").drop("_blk", "_own")
-        return out if keep_t else out.drop("_t")
+        return out if (self.numbered if keep_t is None else keep_t) else out.drop("_t")
 
     # -- window expressions --------------------------------------------------------------------
 
@@ -187,7 +205,7 @@ class Series:
                 brought = brought * F.pow(F.lit(decay), pos + 1)
             outs[name] = F.coalesce(F.col(f"_{name}_in"), F.lit(0.0)) + brought
         drop = [*local, *(f"_{n}_carry" for n in specs)]
-        return Series(joined.withColumns(outs).drop(*drop), self.key, self.size)
+        return self._with(joined.withColumns(outs).drop(*drop))
 
     def running_max(self, name: str, c: str) -> "Series":
         """Add the largest value of ``c`` so far: inside the block, and over the blocks before it."""
@@ -198,7 +216,7 @@ class Series:
         inside = F.max("_v").over(self.w.rowsBetween(Window.unboundedPreceding, 0))
         out = frame.withColumn("_in", inside).join(before, [*self.key, "_blk"], "left")
         out = out.withColumn(name, F.greatest("_in", "_before")).drop("_v", "_in", "_before")
-        return Series(out, self.key, self.size)
+        return self._with(out)
 
 
 def ewm_term(c: str, alpha: float, start: int = 0) -> tuple[Column, float]:

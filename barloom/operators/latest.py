@@ -73,8 +73,8 @@ def history_span(bars: DataFrame, as_of: DataFrame, idle_days: int = 30) -> Data
         F.max("time").alias("last_time"),
         F.count(F.lit(1)).alias("n_rows"),
     )
-    flagged = spans.crossJoin(as_of.select(F.max("as_of").alias("as_of")))
-    return flagged.withColumn("delisted", F.datediff("as_of", "last_time") > idle_days).drop("as_of")
+    now = as_of.agg(F.max("as_of").alias("as_of")).scalar()
+    return spans.withColumn("delisted", F.datediff(now, F.col("last_time")) > idle_days)
 
 
 def with_history(df: DataFrame, n: int) -> DataFrame:
@@ -88,5 +88,5 @@ def retain(df: DataFrame, policy: str, time: str = "time", as_of: str | None = N
     keep = F.make_dt_interval(days=F.lit(RETENTION_DAYS[policy]))
     if as_of is not None:
         return df.filter(F.col(time) >= F.lit(as_of).cast(df.schema[time].dataType) - keep)
-    edge = df.agg((F.max(time) - keep).alias("_edge"))
-    return df.join(edge, F.col(time) >= F.col("_edge")).drop("_edge")
+    edge = df.agg((F.max(time) - keep).alias("edge")).scalar()
+    return df.filter(F.col(time) >= edge)

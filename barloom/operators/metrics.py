@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
-from barloom.functions.series import Series
+from barloom.functions.series import Series, number_rows
+from barloom.sources.stage import stage
 
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +71,9 @@ def portfolio_metrics(returns: DataFrame, *, key: tuple[str, ...] = ("symbol",),
     the running peak is the larger of the peak inside a block and that of the blocks before it.
     """
     rows = returns.filter(F.col("r").isNotNull()).withColumn("_l", F.log1p("r"))
-    s = Series.of(rows, behind=0, key=key, **how).accumulate({"_wealth": (F.col("_l"), 1.0)})
+    # the wealth line and its peak each read their input twice: number once, keep that
+    numbered = stage(number_rows(rows, key=key, staged=True, **how), "returns")
+    s = Series.of(numbered, behind=0, key=key).accumulate({"_wealth": (F.col("_l"), 1.0)})
     s = s.running_max("_peak", "_wealth")
     # the line starts from 1, so the peak is never below log 1 = 0
     fall = 1 - F.exp(F.col("_wealth") - F.greatest(F.col("_peak"), F.lit(0.0)))

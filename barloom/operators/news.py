@@ -162,7 +162,7 @@ def decayed_sentiment(
         F.count(F.lit(1)).alias("article_count"),
         F.max_by("title", F.struct(F.abs("_sw"), -F.col("article_id"))).alias("top_headline"),
     )
-    s = Series.of(grid, behind=trail, **how)
+    s = Series.of(grid, behind=trail, staged=True, **how)
     s = s.with_columns(
         _before=s.back("weighted_sentiment"),
         _mean=s.mean("article_count", trail),

@@ -34,19 +34,22 @@ FEATURES = (
 
 def own_returns(bars: DataFrame, name: str, **how) -> DataFrame:
     """symbol, time and the return against the previous own row."""
-    s = Series.of(bars.select("symbol", "time", "close"), behind=1, **how)
-    return s.with_columns(**{name: pct(F.col("close"), s.back("close"))}).own().drop("close")
+    t = [c for c in ("_t",) if c in bars.columns]
+    s = Series.of(bars.select("symbol", "time", "close", *t), behind=1, **how)
+    s = s.with_columns(_before=s.back("close"))
+    return s.with_columns(**{name: pct(F.col("close"), F.col("_before"))}).own(keep_t=False).drop("close", "_before")
 
 
 def relative_to_market(bars: DataFrame, market: DataFrame, n: int = 20, **how) -> DataFrame:
     """Excess return and n-row relative strength against a market series.
 
     Returns are taken on each series' own rows, then the times both have are kept, and the product
-    window runs over those. One row per bar that has a market row.
+    window runs over those. One row per bar that has a market row. The joined returns (four columns) are
+    staged, because they are counted and ranked anew.
     """
     mine = own_returns(bars, "_r", **how)
     theirs = own_returns(market, "_m", **how).select("time", "_m")
-    s = Series.of(mine.join(theirs, "time"), behind=n, **how)
+    s = Series.of(mine.join(theirs, "time"), behind=n, staged=True, **how)
     s = s.with_columns(
         excess_return=F.col("_r") - F.col("_m"),
         _lr=F.when(F.col("_r") > -1, F.log1p("_r")),

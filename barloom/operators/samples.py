@@ -67,7 +67,7 @@ def window_multiplicity(df: DataFrame, length: int, horizon: int, **how) -> Data
     sizes = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
     t, last = F.col("_t"), F.col("_n") - length - horizon - 1
     n = F.least(t, last) - F.greatest(F.lit(0), t - length + 1) + 1
-    return numbered.join(sizes, "symbol").withColumn("n_windows", F.greatest(F.lit(0), n)).drop("_n", "_t")
+    return numbered.join(sizes, "symbol").withColumn("n_windows", F.greatest(F.lit(0), n)).drop("_n")
 
 
 HORIZONS = (30, 90, 180, 365)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
@@ -123,8 +123,8 @@ def risk_columns(df: DataFrame) -> DataFrame:
 def exposures(positions: DataFrame) -> DataFrame:
     """Value per portfolio and sector with the portfolio's total (positions: portfolio, sector, value)."""
     per = positions.groupBy("portfolio", "sector").agg(F.sum("value").alias("sector_value"))
-    total = per.groupBy("portfolio").agg(F.sum("sector_value").alias("total_exposure"))
-    return per.join(total, "portfolio")
+    # one row per sector is left by now
+    return per.withColumn("total_exposure", F.sum("sector_value").over(Window.partitionBy("portfolio")))
 
 
 def validate_orders(orders: DataFrame, portfolios: DataFrame, sector_values: DataFrame) -> DataFrame:

@@ -253,7 +253,7 @@ def add_beta(bars: DataFrame, market: DataFrame, n: int = 60, **how) -> DataFram
 
     mine = own_returns(bars, "r", **how)
     theirs = own_returns(market, "m", **how).select("time", "m")
-    s = Series.of(mine.join(theirs, "time"), behind=n, **how)
+    s = Series.of(mine.join(theirs, "time"), behind=n, staged=True, **how)
     frame = s.rows(n)
     both = flag(F.col("r").isNotNull() & F.col("m").isNotNull())
     s = s.with_columns(_both=both)

@@ -14,6 +14,7 @@ from barloom.plans.q_flow import FLOW
 from barloom.plans.registry import final, query
 from barloom.plans.sqltext import W, b, chg, clip, div, lag, over, roll
 from barloom.sources import messages as MS
+from barloom.sources.stage import layer
 
 FACTORS = ("momentum_5", "momentum_20", "volume_ratio", "bb_position", "news_sentiment")
 FACTOR_SQL = f"""{V.WEEKLY}, {V.ARTICLES},
@@ -33,9 +34,14 @@ FACTOR_SQL = f"""{V.WEEKLY}, {V.ARTICLES},
 
 
 def factors(spark, sf):
-    t = T.add_technical(V.weekly_layer(spark, sf), ema=False)
-    n = V.articles(spark, sf).groupBy("symbol").agg(F.avg("sentiment").alias("news_sentiment"))
-    return t.join(n, "symbol").select("symbol", "time", "close", *FACTORS)
+    """The factor table of the screener, stored once: it is read for the statistics and for the scores."""
+
+    def build():
+        t = T.add_technical(V.weekly_layer(spark, sf), ema=False)
+        n = V.articles(spark, sf).groupBy("symbol").agg(F.avg("sentiment").alias("news_sentiment"))
+        return t.join(n, "symbol").select("symbol", "time", "close", "returns", "volatility_20", *FACTORS)
+
+    return layer(spark, f"factors {sf}", build)
 
 
 @query(final(f"(WITH {FACTOR_SQL} SELECT symbol, time, {', '.join(f'z_{f}' for f in FACTORS)} FROM zz)", " ".join(f"z_{f}" for f in FACTORS)))
@@ -69,8 +75,8 @@ def screener_top20(spark, sf):
 )
 def atr_percentile(spark, sf):
     """ATR against its own last 52 rows."""
-    t = T.add_technical(V.weekly_layer(spark, sf), ema=False).select("symbol", "time", "atr_14")
-    return SCR.trailing_percentile(t, "atr_14", "atr_percentile", 52).drop("atr_14")
+    t = T.add_technical(V.weekly_layer(spark, sf), ema=False).select("symbol", "time", "_t", "atr_14")
+    return SCR.trailing_percentile(t, "atr_14", "atr_percentile", 52).drop("atr_14", "_t")
 
 
 REGIME = """CASE CAST(substr(symbol, 8) AS INTEGER) % 5 WHEN 0 THEN 'trending' WHEN 1 THEN 'mean_reverting' WHEN 2 THEN 'high_volatility'
@@ -97,9 +103,8 @@ def signals(spark, sf):
     f = factors(spark, sf)
     scored = SCR.composite(SCR.zscores(f, FACTORS))
     screener = scored.select("symbol", "time", F.col("close").alias("price"), F.col("composite_score").alias("technical"))
-    t = T.add_technical(V.weekly_layer(spark, sf), ema=False)
     r = F.col("returns")
-    prediction = t.filter(r.isNotNull()).select(
+    prediction = f.filter(r.isNotNull()).select(
         "symbol",
         "time",
         (1 / (1 + F.exp(-r))).alias("trend_probability"),

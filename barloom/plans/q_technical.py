@@ -122,7 +122,9 @@ def trend_days_listed(spark, sf):
               FROM r JOIN n ON n.symbol = r.symbol AND n.t = r.t + 1)
         SELECT symbol, time, e12 - e26 AS macd, macd_signal FROM r)""",
         "macd macd_signal",
-    )
+        4,
+    ),
+    digits=4,
 )
 def technical_macd_daily(spark, sf):
     """MACD on long daily series, where averages are carried over block borders."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.series import number_rows
 from barloom.operators.bars import bars_from_ticks
 from barloom.sources.stage import layer
 
@@ -48,19 +49,24 @@ def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars_from_ticks(ticks, "week", time="l_shipdate", order=TICK_ORDER)
 
 
-# The bar layers the indicator queries read, like any store of bars: built from the trades once.
+# The bar layers the indicator queries read, like any store of bars: built from the trades once, rows
+# numbered within their symbol.
+
+
+def _numbered(spark: SparkSession, name: str, build) -> DataFrame:
+    return layer(spark, f"numbered {name}", lambda: number_rows(layer(spark, name, build)))
 
 
 def weekly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer(spark, f"weekly {sf_dir}", lambda: weekly_bars(spark, sf_dir))
+    return _numbered(spark, f"weekly {sf_dir}", lambda: weekly_bars(spark, sf_dir))
 
 
 def daily_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer(spark, f"daily {sf_dir}", lambda: daily_bars(spark, sf_dir))
+    return _numbered(spark, f"daily {sf_dir}", lambda: daily_bars(spark, sf_dir))
 
 
 def benchmark_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer(spark, f"benchmark {sf_dir}", lambda: benchmark_bars(spark, sf_dir))
+    return _numbered(spark, f"benchmark {sf_dir}", lambda: benchmark_bars(spark, sf_dir))
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

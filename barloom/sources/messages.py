@@ -31,8 +31,8 @@ def decode_items(raw: DataFrame, text: str = "value") -> DataFrame:
     """
     body = F.trim(text)
     wrapped = F.when(F.startswith(body, F.lit("[")), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
-    # items stay text until their kind is known; a variant keeps numbers and lists as they are
-    items = F.from_json(F.to_json(F.try_parse_json(wrapped)), "array<string>")
+    # items stay text until their kind is known
+    items = F.from_json(wrapped, "array<string>")
     rest = [c for c in raw.columns if c != text]
     out = raw.select(*rest, F.explode(items).alias("item"))
     return out.withColumn("ev", F.get_json_object("item", "$.ev")).filter(F.col("ev").isNotNull())
