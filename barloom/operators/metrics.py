@@ -12,6 +12,11 @@ from barloom.functions.series import Series, number_rows
 from barloom.sources.stage import stage
 
 
+def correlation(y: str, p: str) -> Column:
+    """Pearson correlation; null where a side has no spread (the built-in raises in ANSI mode)."""
+    return ratio(F.covar_pop(y, p), F.stddev_pop(y) * F.stddev_pop(p))
+
+
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str, ...] = ()) -> DataFrame:
     """MSE, RMSE, MAE, correlation and share of equal signs."""
     err = F.col(y) - F.col(p)
@@ -20,7 +25,7 @@ def regression_metrics(df: DataFrame, y: str = "y", p: str = "p", by: tuple[str,
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(err)).alias("mae"),
-        F.corr(y, p).alias("correlation"),
+        correlation(y, p).alias("correlation"),
         F.avg((F.signum(y) == F.signum(p)).cast("double")).alias("direction_accuracy"),
     )
 
@@ -29,7 +34,7 @@ def horizon_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Per forecast day of array columns: correlation (0 if undefined) and share of equal up flags."""
     days = df.select(F.posexplode(F.arrays_zip(F.col(y).alias("y"), F.col(p).alias("p"))).alias("i", "c"))
     pair = days.select((F.col("i") + 1).alias("day"), F.col("c.y").alias("y"), F.col("c.p").alias("p"))
-    r = F.corr("y", "p")
+    r = correlation("y", "p")
     return pair.groupBy("day").agg(
         F.when(r.isNull() | F.isnan(r), 0.0).otherwise(r).alias("correlation"),
         F.avg(((F.col("y") > 0) == (F.col("p") > 0)).cast("double")).alias("direction_accuracy"),

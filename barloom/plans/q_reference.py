@@ -364,3 +364,18 @@ def training_join(spark, sf):
     sentiment = a.groupBy("symbol", time.alias("time")).agg(F.avg("s").alias("avg_sentiment"))
     df = CX.training_features(bars, context, sentiment)
     return df.select("symbol", "time", "close", "R0_close", "R3_close", "avg_sentiment")
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS}, tr AS (SELECT * FROM ticks WHERE seq % 2 = 1), qu AS (SELECT symbol, time, price AS quote, size AS quote_size FROM ticks WHERE seq % 2 = 0)
+        SELECT tr.seq, tr.symbol, tr.price, qu.quote, qu.quote_size FROM tr ASOF LEFT JOIN qu ON tr.symbol = qu.symbol AND tr.time >= qu.time)""",
+        "price quote",
+    )
+)
+def as_of_join(spark, sf):
+    """Every odd tick with the newest even tick of its symbol at or before it."""
+    t = V.event_ticks(spark, sf)
+    trades = t.filter(F.col("seq") % 2 == 1).select("seq", "symbol", "time", "price")
+    quotes = t.filter(F.col("seq") % 2 == 0).select("symbol", "time", F.col("price").alias("quote"), F.col("size").alias("quote_size"))
+    return CX.as_of(trades, quotes, ["quote", "quote_size"]).select("seq", "symbol", "price", "quote", "quote_size")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.messages import ns_to_timestamp
+
 # Names that are not symbols.
 NOT_SYMBOLS = ("market_context", "processing_summary")
 
@@ -17,9 +19,15 @@ def write_bars(bars: DataFrame, path: str, *, by: Sequence[str] = (), mode: str
     (out.partitionBy(*by) if by else out).parquet(path)
 
 
+def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Parquet bars, also as pandas writes them (nanosecond times, which Spark reads as numbers)."""
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    return spark.read.option("recursiveFileLookup", str(recursive).lower()).parquet(path)
+
+
 def load_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, tier: str | None = None) -> DataFrame:
     """Bars of some symbols or of one tier (a pruned partition). Symbols that do not exist are skipped."""
-    df = lower_names(spark.read.parquet(path))
+    df = lower_names(read_files(spark, path))
     if tier is not None:
         df = df.filter(F.col("tier") == tier)
     if symbols is not None:
@@ -28,12 +36,14 @@ def load_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = No
 
 
 def lower_names(df: DataFrame) -> DataFrame:
-    """Lower-case column names; a date or timestamp column becomes ``time``."""
+    """Lower-case column names; a date or timestamp column becomes ``time``, numbers of nanoseconds a time."""
     df = df.toDF(*(c.lower() for c in df.columns))
-    if "time" not in df.columns:
-        for name in ("date", "timestamp"):
-            if name in df.columns:
-                return df.withColumnRenamed(name, "time")
+    found = [c for c in ("time", "date", "timestamp") if c in df.columns]
+    if not found:
+        return df
+    df = df.withColumnRenamed(found[0], "time")
+    if dict(df.dtypes)["time"] == "bigint":
+        df = df.withColumn("time", ns_to_timestamp(F.col("time")).cast("timestamp_ntz"))
     return df
 
 
@@ -55,7 +65,7 @@ def symbols(df: DataFrame) -> DataFrame:
 def symbols_of_files(spark: SparkSession, path: str, suffix: str = "_[a-z]+") -> DataFrame:
     """Distinct symbols of a one-file-per-symbol layout, from the file names."""
     name = F.regexp_extract(F.col("_metadata.file_name"), rf"^([^.]+?){suffix}\.parquet$", 1)
-    df = spark.read.option("recursiveFileLookup", "true").parquet(path).select(name.alias("symbol"))
+    df = read_files(spark, path, recursive=True).select(name.alias("symbol"))
     return symbols(df.filter(F.col("symbol") != ""))
 
 
@@ -69,8 +79,8 @@ def write_manifest(tier_counts: DataFrame, tier_symbols: DataFrame, path: str) -
 
 def load_delisted(spark: SparkSession, prices_path: str, labels_path: str | None = None) -> DataFrame:
     """Delisted prices with their labels where there are any."""
-    prices = lower_names(spark.read.parquet(prices_path))
+    prices = lower_names(read_files(spark, prices_path))
     if labels_path is None:
         return prices
-    labels = spark.read.parquet(labels_path).withColumnRenamed("date", "time")
+    labels = lower_names(read_files(spark, labels_path))
     return prices.join(labels, ["symbol", "time"], "left")
