@@ -313,7 +313,7 @@ def _messages(spark, sf, ticks=None):
                                F.col("size").alias("s"), F.lit(4).alias("x"), cond.alias("c")))
     quote = F.to_json(F.struct(F.lit("Q").alias("ev"), F.col("symbol").alias("sym"), ns.alias("t"), (F.col("price") - 1).alias("bp"),
                                (F.col("price") + 1).alias("ap"), F.col("size").alias("bs"), F.lit(7).alias("as")))
-    bar = F.to_json(F.struct(F.lit("AM").alias("ev"), F.col("symbol").alias("sym"), F.floor(ns / 1000000).alias("s"), F.col("price").alias("o"),
+    bar = F.to_json(F.struct(F.lit("AM").alias("ev"), F.col("symbol").alias("sym"), F.call_function("div", ns, F.lit(1000000)).alias("s"), F.col("price").alias("o"),
                              (F.col("price") + 2).alias("h"), (F.col("price") - 2).alias("l"), F.col("price").alias("c"),
                              F.col("size").alias("v"), F.col("price").alias("vw"), F.lit(3).alias("n")))
     k = F.col("seq") % 5
