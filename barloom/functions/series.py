@@ -18,6 +18,7 @@ All expressions of a family share one window specification, so Spark plans one e
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Sequence
 
@@ -108,7 +109,9 @@ class Series:
         return cls(cut, key, size, numbered)
 
     def _with(self, df: DataFrame) -> "Series":
-        return Series(df, self.key, self.size, self.numbered)
+        out = copy.copy(self)
+        out.df = df
+        return out
 
     def with_columns(self, **cols: Column) -> "Series":
         return self._with(self.df.withColumns(cols))

@@ -14,7 +14,7 @@ def market_context(bars: DataFrame, names: Sequence[str], value: str = "close")
     A pivot replaces the chain of full outer joins: one shuffle for any number of series.
     """
     wide = bars.filter(F.col("symbol").isin(list(names))).groupBy("time").pivot("symbol", list(names))
-    table = wide.agg(F.first(value, ignorenulls=True)).withColumnsRenamed({n: f"{n}_{value}" for n in names})
+    table = wide.agg(F.max(value)).withColumnsRenamed({n: f"{n}_{value}" for n in names})
     return forward_fill(table, [f"{n}_{value}" for n in names], key=())
 
 
