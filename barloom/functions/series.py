@@ -41,7 +41,8 @@ def number_rows(
 ) -> DataFrame:
     """Add ``_t``, the 0-based position of a row within its key in the given order.
 
-    ``order`` must start with ``time``. Rows are ranked inside chunks: a calendar unit of ``time``, or
+    ``order`` must start with ``time`` and leave no ties (bars have one row per symbol and time; other rows
+    name a sequence column too), or a repeated task may rank rows differently. Rows are ranked inside chunks: a calendar unit of ``time``, or
     any column that grows with the order. With an empty key the whole table is numbered.
 
     Counting and ranking both read ``df``. Where it is costly (joined, aggregated), ``staged`` writes it

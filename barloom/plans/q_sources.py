@@ -252,11 +252,9 @@ def stream_bar_history(spark, sf):
         return lambda h: float(h["close"].iloc[-1] / h["close"].iloc[-21] - 1)
 
     out, checkpoint = _folders(spark)
-    t = J.event_time(_tick_stream(spark, sf)).select("symbol", "time", "seq", F.col("price").alias("close"))
-    scored = J.score_histories(t, momentum)
-    J.revisions(scored, out, checkpoint, mode="append")
-    df = spark.read.parquet(out).drop("_batch")
-    return df.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    t = _tick_stream(spark, sf).select("symbol", "time", "seq", F.col("price").alias("close"))
+    J.score_histories(t, momentum, out, checkpoint)
+    return J.scores(spark, out)
 
 
 @query(final(f"(WITH {V.TICKS}, {V.QUOTES} SELECT symbol, max(seq) AS seq, arg_max(bid, (time, seq)) AS bid FROM quotes GROUP BY 1)", "bid"))
@@ -279,10 +277,9 @@ def stream_latest_quote(spark, sf):
 def stream_last_trades(spark, sf):
     """The newest 50 trades per symbol, kept by a stream."""
     out, checkpoint = _folders(spark)
-    t = J.event_time(_tick_stream(spark, sf)).select("symbol", "time", "seq", "price", F.col("size").cast("long").alias("size"))
-    J.revisions(J.last_trades(t, 50), out, checkpoint)
-    df = J.newest(spark, out, ["symbol", "age"])
-    return df.withColumn("time", F.col("time").cast("timestamp_ntz"))
+    t = _tick_stream(spark, sf).select("symbol", "time", "seq", "price", F.col("size").cast("long").alias("size"))
+    J.last_trades(t, out, checkpoint, 50)
+    return J.newest_trades(spark, out, 50)
 
 
 @query(

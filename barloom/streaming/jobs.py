@@ -9,11 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.expr import ratio
+from barloom.functions.series import Series
+from barloom.operators.latest import last_n
 from barloom.sources import messages
 
 # Refresh cadences of the screening steps.
@@ -125,76 +128,91 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
     ).select("symbol", "q.*")
 
 
-# -- keyed state ---------------------------------------------------------------------------------
+# -- kept rows per symbol --------------------------------------------------------------------------
+# A symbol's rows of one micro-batch would all meet in one task in a keyed-state operator. These jobs
+# keep the state as a small table instead (the last rows of every symbol, one folder per micro-batch)
+# and run the block windows and per-task limits of the batch operators on it.
+
+
+def _kept(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
+    """The rows kept by the newest micro-batch before this one."""
+    try:
+        df = spark.read.schema(f"{_ddl(empty)}, _batch bigint").option("basePath", path).parquet(path)
+    except AnalysisException:
+        return empty.limit(0)
+    before = df.filter(F.col("_batch") < batch_id)
+    last = before.agg(F.max("_batch").alias("b")).scalar()
+    return before.filter(F.col("_batch") == last).drop("_batch")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
 
 def score_histories(
-    stream: DataFrame, make_score: Callable[[], Callable[[pd.DataFrame], float]], columns: Sequence[str] = ("close",),
-    keep: int = 110, ready: int = 80,
-) -> DataFrame:
-    """Score every new bar against the symbol's last ``keep`` bars.
-
-    State per symbol: the kept bars, in time order. A late bar is put in its place; one older than all
-    kept bars of a full history is ignored. Emits symbol, time, seq, n_bars, ready, score (null before
-    ``ready`` bars are there). Rows of a symbol in one micro-batch are bounded by the source's rate limit.
+    stream: DataFrame, make_score: Callable[[], Callable[[pd.DataFrame], float]], out: str, checkpoint: str,
+    columns: Sequence[str] = ("close",), keep: int = 110, ready: int = 80, every: str | None = None,
+):
+    """Score every new bar (symbol, time, seq, columns) against the symbol's last ``keep`` bars up to it.
+
+    A late bar takes its place in time; one older than all kept bars of a full history is ignored.
+    Writes symbol, time, seq, n_bars, ready, score (null before ``ready`` bars are there) below ``out``,
+    and the kept bars of every symbol as its state.
     """
     names = list(columns)
-    state_schema = "micros array<bigint>, seqs array<bigint>, " + ", ".join(f"v{i} array<double>" for i in range(len(names)))
-    out = "symbol string, time timestamp, seq bigint, n_bars int, ready boolean, score double"
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        score = make_score()
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        fresh = pd.concat(list(batches)).sort_values(["time", "seq"])
-        rows = []
-        for r in fresh.itertuples(index=False):
-            item = (r.time.value // 1000, int(r.seq), *(float(getattr(r, n)) for n in names))
-            if len(kept) >= keep and item[:2] < kept[0][:2]:
-                continue
-            kept.append(item)
-            kept.sort()
-            kept = kept[-keep:]
-            full = len(kept) >= ready
-            value = score(pd.DataFrame([k[2:] for k in kept], columns=names)) if full else None
-            rows.append((key[0], r.time, int(r.seq), len(kept), full, value))
-        state.update(tuple(list(c) for c in zip(*kept, strict=True)))
-        yield pd.DataFrame(rows, columns=["symbol", "time", "seq", "n_bars", "ready", "score"])
+    @F.pandas_udf("double")
+    def score(histories: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rate = make_score()
+        for h in histories:
+            yield h.map(lambda x: None if x is None else rate(pd.DataFrame(list(x), columns=names))).astype("float64")
 
-    return stream.groupBy("symbol").applyInPandasWithState(
-        step, outputStructType=out, stateStructType=state_schema, outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout
-    )
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        new = batch.select("symbol", "time", "seq", *(F.col(n).cast("double") for n in names))
+        old = _kept(spark, f"{out}/kept", batch_id, new)
+        edge = old.groupBy("symbol").agg(
+            F.count(F.lit(1)).alias("_n"), F.min(F.struct("time", "seq")).alias("_oldest")
+        )
+        late = (F.col("_n") >= keep) & (F.struct("time", "seq") < F.col("_oldest"))
+        new = new.join(edge, "symbol", "left").filter(~F.coalesce(late, F.lit(False))).drop("_n", "_oldest")
+        both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+        s = Series.of(both, behind=keep, order=("time", "seq"), chunk="day")
+        s = s.with_columns(_h=F.collect_list(F.struct(*names)).over(s.rows(keep)))
+        rows = s.own().filter("_new").withColumn("n_bars", F.size("_h")).withColumn("ready", F.col("n_bars") >= ready)
+        rows = rows.withColumn("score", score(F.when(F.col("ready"), F.col("_h"))))
+        done = rows.select("symbol", "time", "seq", "n_bars", "ready", "score")
+        done.write.mode("overwrite").parquet(f"{out}/scores/_batch={batch_id}")
+        last_n(both.drop("_new"), keep).drop("age").write.mode("overwrite").parquet(f"{out}/kept/_batch={batch_id}")
+        batch.unpersist()
 
+    return _start(stream.writeStream.foreachBatch(step), checkpoint, every)
 
-def last_trades(stream: DataFrame, n: int = 100) -> DataFrame:
-    """Running table of every symbol's newest n trades, emitted per micro-batch with their age."""
-    out = "symbol string, age int, time timestamp, seq bigint, price double, size bigint"
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(zip(*state.get, strict=True)) if state.exists else []
-        for pdf in batches:
-            kept += [(t.value // 1000, int(s), float(p), int(z)) for t, s, p, z in
-                     zip(pdf["time"], pdf["seq"], pdf["price"], pdf["size"], strict=True)]
-            kept = sorted(kept)[-n:]
-        state.update(tuple(list(c) for c in zip(*kept, strict=True)))
-        new = kept[::-1]
-        yield pd.DataFrame(
-            {
-                "symbol": [key[0]] * len(new),
-                "age": range(1, len(new) + 1),
-                "time": pd.to_datetime([k[0] for k in new], unit="us"),
-                "seq": [k[1] for k in new],
-                "price": [k[2] for k in new],
-                "size": [k[3] for k in new],
-            }
-        )
+def scores(spark: SparkSession, out: str) -> DataFrame:
+    """What ``score_histories`` has written."""
+    return spark.read.parquet(f"{out}/scores").drop("_batch")
 
-    return stream.groupBy("symbol").applyInPandasWithState(
-        step,
-        outputStructType=out,
-        stateStructType="micros array<bigint>, seqs array<bigint>, prices array<double>, sizes array<bigint>",
-        outputMode="update",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+
+def last_trades(stream: DataFrame, out: str, checkpoint: str, n: int = 100, every: str | None = None):
+    """Keep every symbol's newest n rows (by time, seq) in a table below ``out``."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        both = _kept(batch.sparkSession, out, batch_id, batch).unionByName(batch)
+        last_n(both, n).drop("age").write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+
+    return _start(stream.writeStream.foreachBatch(step), checkpoint, every)
+
+
+def newest_trades(spark: SparkSession, out: str, n: int = 100) -> DataFrame:
+    """The table of ``last_trades`` after its newest micro-batch, with the age of each row."""
+    df = spark.read.option("basePath", out).parquet(out)
+    last = df.agg(F.max("_batch").alias("b")).scalar()
+    return last_n(df.filter(F.col("_batch") == last).drop("_batch"), n)
+
+
+# -- keyed state ---------------------------------------------------------------------------------
 
 
 # Failures that stop trading, and the cool-down in seconds.
@@ -206,7 +224,9 @@ def halt_intervals(stream: DataFrame, failures: int = HALT["failures"], cooldown
 
     Failures add up until a probe succeeds; from the limit on trading is halted. The first attempt after
     the cool-down is a probe: success resumes trading and clears the count, failure starts a new halt.
-    Attempts during a halt are blocked and change nothing. Emits one row per state change.
+    Attempts during a halt are blocked and change nothing. Emits one row per state change. The fold is
+    one step after the other by nature; a symbol's outcomes of one micro-batch (bounded by the source's
+    rate limit) meet in one task.
     """
     out = "symbol string, time timestamp, seq bigint, state string, failures int"
 

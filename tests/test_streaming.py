@@ -81,14 +81,15 @@ def test_history_over_batches_with_a_late_bar(spark, where):
     row = lambda i, x: ("A", START + timedelta(minutes=i), i, float(x))
     land(spark, folder, "1", [row(i, i) for i in (0, 1, 3)], schema)
     land(spark, folder, "2", [row(2, 2), row(4, 4)], schema)
-    stream = J.event_time(source(spark, folder, schema))
-    scored = J.score_histories(stream, lambda: lambda h: float((h.close * range(len(h))).sum()), keep=4, ready=3)
-    J.revisions(scored, out, checkpoint, mode="append")
-    got = {r.seq: (r.n_bars, r.ready, r.score) for r in spark.read.parquet(out).collect()}
-    assert got[1] == (2, False, None)
-    assert got[3] == (3, True, 0 * 0 + 1 * 1 + 3 * 2)
-    assert got[2] == (4, True, 0 * 0 + 1 * 1 + 2 * 2 + 3 * 3)  # put in its place
-    assert got[4] == (4, True, 1 * 0 + 2 * 1 + 3 * 2 + 4 * 3)  # the oldest was let go
+    rate = lambda: lambda h: float((h.close * range(len(h))).sum())
+    J.score_histories(source(spark, folder, schema), rate, out, checkpoint, keep=4, ready=3)
+    land(spark, folder, "3", [row(0, 50), row(5, 5)], schema)  # the first is older than the full history
+    J.score_histories(source(spark, folder, schema), rate, out, checkpoint, keep=4, ready=3)
+    got = {(r.seq, r.n_bars, r.score) for r in J.scores(spark, out).collect()}
+    assert got == {
+        (0, 1, None), (1, 2, None), (3, 3, 0 * 0 + 1 * 1 + 3 * 2), (2, 3, 0 * 0 + 1 * 1 + 2 * 2),
+        (4, 4, 1 * 0 + 2 * 1 + 3 * 2 + 4 * 3), (5, 4, 2 * 0 + 3 * 1 + 4 * 2 + 5 * 3),
+    }
 
 
 def test_latest_quote_and_last_trades(spark, where):
@@ -98,8 +99,8 @@ def test_latest_quote_and_last_trades(spark, where):
     q = source(spark, folder).select("symbol", "time", "seq", F.col("price").alias("bid"), F.col("price").alias("ask"))
     J.revisions(J.latest_quotes(q), out, checkpoint)
     assert {(r.symbol, r.bid) for r in J.newest(spark, out, ["symbol"]).collect()} == {("A", 7.0), ("B", 9.0)}
-    J.revisions(J.last_trades(J.event_time(source(spark, folder)), 6), out + "2", checkpoint + "2")
-    got = J.newest(spark, out + "2", ["symbol", "age"]).filter("symbol = 'A'").orderBy("age").collect()
+    J.last_trades(source(spark, folder), out + "2", checkpoint + "2", 6)
+    got = J.newest_trades(spark, out + "2", 6).filter("symbol = 'A'").orderBy("age").collect()
     assert [r.price for r in got] == [7.0, 6.0, 5.0, 4.0, 33.0, 3.0]
 
 
