@@ -56,17 +56,37 @@ def gaussian_nll(mu: Column, sigma: Column, y: Column) -> Column:
     return F.ln(sigma + 1e-8) + F.pow(mu - y, 2) / (2 * F.pow(sigma, 2) + 1e-8)
 
 
+# Weight of each loss part in the total, and of a delisted row in the delisting part.
+LOSS_WEIGHTS = {"price_mse": 1.0, "direction_bce": 0.5, "uncertainty_nll": 0.2, "delist_bce": 0.5}
+DELISTED_WEIGHT = 5.0
+
+
 def loss_metrics(df: DataFrame) -> DataFrame:
-    """Loss parts over (y, mu, sigma, delist_p, delist_y, is_delisted); delisted rows weigh 5 in theirs."""
+    """Loss parts and their weighted total over (y, mu, sigma, delist_p, delist_y, is_delisted).
+
+    Columns hold one value per row, or arrays (one value per forecast day, one per delisting horizon);
+    every element counts alike.
+    """
     c = F.col
-    up = F.when(c("y") > 0, 1.0).otherwise(0.0)
-    weight = F.when(c("is_delisted"), 5.0).otherwise(1.0)
-    return df.agg(
-        F.avg(F.pow(c("mu") - c("y"), 2)).alias("price_mse"),
-        F.avg(bce_logits(c("mu"), up)).alias("direction_bce"),
-        F.avg(gaussian_nll(c("mu"), c("sigma"), c("y"))).alias("uncertainty_nll"),
-        F.avg(weight * bce(c("delist_p"), c("delist_y"))).alias("delist_bce"),
+    arrays = dict(df.dtypes)["y"].startswith("array")
+    up = lambda y: F.when(y > 0, 1.0).otherwise(0.0)
+    weight = F.when(c("is_delisted"), DELISTED_WEIGHT).otherwise(1.0)
+
+    def mean(fn, *names) -> Column:
+        if not arrays:
+            return fn(*(c(n) for n in names))
+        zipped = F.arrays_zip(*(c(n).alias(n) for n in names))
+        total = F.aggregate(zipped, F.lit(0.0), lambda acc, e: acc + fn(*(e[n] for n in names)))
+        return total / F.size(zipped)
+
+    parts = df.agg(
+        F.avg(mean(lambda mu, y: F.pow(mu - y, 2), "mu", "y")).alias("price_mse"),
+        F.avg(mean(lambda mu, y: bce_logits(mu, up(y)), "mu", "y")).alias("direction_bce"),
+        F.avg(mean(gaussian_nll, "mu", "sigma", "y")).alias("uncertainty_nll"),
+        F.avg(weight * mean(bce, "delist_p", "delist_y")).alias("delist_bce"),
     )
+    total = sum((F.col(n) * w for n, w in LOSS_WEIGHTS.items()), F.lit(0.0))
+    return parts.withColumn("total_loss", total)
 
 
 def portfolio_metrics(returns: DataFrame, *, key: tuple[str, ...] = ("symbol",), **how) -> DataFrame:

@@ -345,12 +345,13 @@ def horizon_metrics(spark, sf):
 @query(
     final(
         f"""(WITH {V.WEEKLY}, {PRED}, l AS (SELECT y, p AS mu, 0.05::DOUBLE + abs(p) AS sigma, 1 / (1 + exp(-p)) AS dp,
-        {b('y < -0.5')} AS dy, symbol = 'NATION_3' AS d FROM pp)
-        SELECT avg((mu - y) ** 2) AS price_mse,
+        {b('y < -0.5')} AS dy, symbol = 'NATION_3' AS d FROM pp),
+        p AS (SELECT avg((mu - y) ** 2) AS price_mse,
         avg(CASE WHEN mu > 0 THEN mu ELSE 0 END - mu * {b('y > 0')} + ln(1 + exp(-abs(mu)))) AS direction_bce,
         avg(ln(sigma + 1e-8) + (mu - y) ** 2 / (2 * sigma ** 2 + 1e-8)) AS uncertainty_nll,
-        avg(CASE WHEN d THEN 5 ELSE 1 END * -(dy * CASE WHEN dp <= 0 THEN -100 ELSE greatest(-100, ln(dp)) END + (1 - dy) * CASE WHEN dp >= 1 THEN -100 ELSE greatest(-100, ln(1 - dp)) END)) AS delist_bce FROM l)""",
-        "price_mse direction_bce uncertainty_nll delist_bce",
+        avg(CASE WHEN d THEN 5 ELSE 1 END * -(dy * CASE WHEN dp <= 0 THEN -100 ELSE greatest(-100, ln(dp)) END + (1 - dy) * CASE WHEN dp >= 1 THEN -100 ELSE greatest(-100, ln(1 - dp)) END)) AS delist_bce FROM l)
+        SELECT *, price_mse + 0.5 * direction_bce + 0.2 * uncertainty_nll + 0.5 * delist_bce AS total_loss FROM p)""",
+        "price_mse direction_bce uncertainty_nll delist_bce total_loss",
     )
 )
 def loss_metrics(spark, sf):

@@ -137,6 +137,24 @@ def test_losses_do_not_overflow(spark):
     assert r.direction_bce == 0.0 and r.delist_bce == 5 * 100 / 2
 
 
+def test_vector_losses_count_every_element(spark):
+    rows = [([0.1, -0.2], [0.3, 0.1], [0.5, 0.4], [0.2, 0.7, 0.1, 0.9], [0.0, 1.0, 0.0, 1.0], True),
+            ([0.0, 0.2], [-0.3, 0.1], [0.2, 0.4], [0.1, 0.1, 0.1, 0.1], [0.0, 0.0, 0.0, 1.0], False)]
+    df = spark.createDataFrame(rows, "y array<double>, mu array<double>, sigma array<double>, delist_p array<double>, delist_y array<double>, is_delisted boolean")
+    r = M.loss_metrics(df).first()
+    y, mu, sg, p, t = (np.array([row[i] for row in rows]) for i in range(5))
+    up = (y > 0).astype(float)
+    ce = -(t * np.log(p) + (1 - t) * np.log(1 - p)) * np.array([[5.0], [1.0]])
+    want = [
+        ((mu - y) ** 2).mean(),
+        (np.log1p(np.exp(-np.abs(mu))) + np.maximum(mu, 0) - mu * up).mean(),
+        (np.log(sg + 1e-8) + (mu - y) ** 2 / (2 * sg**2 + 1e-8)).mean(),
+        ce.mean(),
+    ]
+    np.testing.assert_allclose([r.price_mse, r.direction_bce, r.uncertainty_nll, r.delist_bce], want)
+    np.testing.assert_allclose(r.total_loss, want[0] + 0.5 * want[1] + 0.2 * want[2] + 0.5 * want[3])
+
+
 def test_portfolio_metrics(spark):
     rng = np.random.default_rng(3)
     r = rng.normal(0.0005, 0.02, 300)
