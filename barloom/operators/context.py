@@ -30,8 +30,13 @@ def forward_fill(
     return _fill_ordered(ordered, names, list(key), chunk).drop("_at", "_o")
 
 
-def as_of(left: DataFrame, right: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), chunk: str = "month") -> DataFrame:
-    """Left rows with the newest right values at or before their time (clocks may differ)."""
+def as_of(
+    left: DataFrame, right: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), chunk: str = "hour"
+) -> DataFrame:
+    """Left rows with the newest right values at or before their time (clocks may differ).
+
+    ``chunk`` is the calendar unit of a key that meets in one task; ticks need a small one.
+    """
     key = list(key)
     mark = left.withColumns({n: F.lit(None).cast(right.schema[n].dataType) for n in names}).withColumn("_left", F.lit(True))
     both = mark.unionByName(right.select(*key, "time", *names).withColumn("_left", F.lit(False)), allowMissingColumns=True)

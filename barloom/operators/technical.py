@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import fdiv, flag, pct, ratio
 from barloom.functions.series import Series, ewm_term, span_term
+from barloom.operators.latest import last_n
 
 BEHIND = 200
 SPANS = (5, 10, 20, 50, 200)
@@ -241,6 +242,18 @@ def add_live(bars: DataFrame, **how) -> DataFrame:
     ).own()
 
 
+def live_window(bars: DataFrame, sequence: int = 60, **how) -> DataFrame:
+    """Live features of the newest ``sequence`` bars, as the live scorer sees them.
+
+    It keeps sequence + 50 bars per symbol, so averages start there; a symbol with fewer than
+    sequence + 20 bars is not ready and left out. ``age`` 1 is the newest bar.
+    """
+    kept = last_n(bars.drop("_t"), sequence + 50, order=("time",))
+    enough = kept.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= sequence + 20)
+    ready = kept.join(enough.select("symbol"), "symbol", "left_semi")
+    return add_live(ready, staged=True, **how).filter(F.col("age") <= sequence)
+
+
 LIVE_FEATURES = (
     "returns log_returns rsi macd macd_signal macd_hist bb_upper bb_mid bb_lower bb_width bb_pct atr atr_pct "
     "obv_change momentum_5 momentum_10 momentum_20 volatility_5 volatility_10 volatility_20 volume_ratio"

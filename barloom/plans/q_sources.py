@@ -77,7 +77,7 @@ def listing_symbols(spark, sf):
 
 @query("""WITH p AS (SELECT doc_id, i, (doc_id * 3 + i * 7) % 40 AS score FROM documents, range(0, 4) r(i) WHERE i <= doc_id % 4)
     SELECT doc_id, concat('post ', doc_id, ' ', i) AS title, 'reddit_stocks' AS source, TIMESTAMP '2024-01-01' + to_minutes(doc_id * 10) AS published,
-    concat('https://reddit.com/r/', doc_id, '/', i) AS url, length(substr(text, 1, 500)) AS snippet_chars
+    concat('https://reddit.com/r/', doc_id, '/', i) AS url, length(substr(text, 1, 500))::INTEGER AS snippet_chars
     FROM p JOIN documents USING (doc_id) WHERE score >= 10""")
 def forum_articles(spark, sf):
     """Forum listings normalised to articles."""

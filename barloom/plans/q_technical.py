@@ -131,12 +131,12 @@ def technical_macd_daily(spark, sf):
     return T.add_exponential(V.daily_layer(spark, sf)).select("symbol", "time", "macd", "macd_signal")
 
 
-def _live_sql() -> str:
+def _live_sql(source: str = "bars", more: str = "", where: str = "") -> str:
     warm = "t >= 19"
     avg = lambda x, n: over(f"avg({x})", n)
-    return f"""(WITH {V.WEEKLY},
+    return f"""(WITH {V.WEEKLY},{more}
     a AS (SELECT *, row_number() OVER ({W}) - 1 AS t, {lag('close')} AS pc, count(*) OVER (PARTITION BY symbol) AS nrows
-          FROM bars),
+          FROM {source}),
     d AS (SELECT *, CASE WHEN pc > 0 THEN (close - pc) / pc ELSE 0 END AS returns,
           CASE WHEN close > pc THEN close - pc ELSE 0 END AS up, CASE WHEN close < pc THEN pc - close ELSE 0 END AS dn,
           CASE WHEN nrows < 2 THEN 0 ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr,
@@ -161,7 +161,7 @@ def _live_sql() -> str:
       4 * sd / bb_mid AS bb_width,
       CASE WHEN sd > 0 THEN (close - (bb_mid - 2 * sd)) / (4 * sd) ELSE 0.5 END AS bb_pct, atr, atr / close AS atr_pct,
       CASE WHEN t > 0 AND pobv <> 0 THEN (obv - pobv)::DOUBLE / abs(pobv) ELSE 0 END AS obv_change,
-      momentum_5, momentum_10, momentum_20, volatility_5, volatility_10, volatility_20, volume_ratio FROM f)"""
+      momentum_5, momentum_10, momentum_20, volatility_5, volatility_10, volatility_20, volume_ratio FROM f {where})"""
 
 
 @query(final(_live_sql(), " ".join(T.LIVE_FEATURES)))
@@ -170,6 +170,17 @@ def technical_live_style(spark, sf):
     return T.add_live(V.weekly_layer(spark, sf)).select("symbol", "time", *T.LIVE_FEATURES)
 
 
+RECENT = """
+    recent AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 110
+               AND count(*) OVER (PARTITION BY symbol) >= 80),"""
+
+
+@query(final(_live_sql("recent", RECENT, "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 60"), " ".join(T.LIVE_FEATURES)))
+def live_window(spark, sf):
+    """Live features of the newest 60 bars, computed from the kept 110 only."""
+    return T.live_window(V.weekly_layer(spark, sf)).select("symbol", "time", *T.LIVE_FEATURES)
+
+
 @query(
     f"""WITH {V.WEEKLY}, n AS (SELECT symbol, time, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) AS age,
     count(*) OVER (PARTITION BY symbol) AS have FROM bars)

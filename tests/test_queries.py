@@ -40,6 +40,18 @@ def test_query(spark, sf, con, name):
     assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
 
 
+@pytest.mark.parametrize("name", ["all_families", "technical_live_style", "portfolio_metrics", "year_windows", "decayed_sentiment"])
+def test_small_blocks(spark, sf, con, name, monkeypatch):
+    """The same results when every series crosses many block borders."""
+    import barloom.functions.series as series
+
+    monkeypatch.setattr(series, "SIZE", 48)
+    df = QUERIES[name](spark, sf)
+    cur = con.execute(ORACLES[name])
+    names = [d[0] for d in cur.description]
+    assert rows(df.columns, df.collect()) == rows(names, cur.fetchall())
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -18,6 +18,8 @@ def test_bar_store(spark, tmp_path):
     BS.write_bars(df, str(tmp_path / "s"), by=["tier"])
     got = BS.load_bars(spark, str(tmp_path / "s"), ["A", "MISSING"])
     assert got.count() == 20 and {r.symbol for r in BS.symbols(BS.load_bars(spark, str(tmp_path / "s"))).collect()} == {"A", "B"}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(symbol" in plan
     pruned = BS.load_bars(spark, str(tmp_path / "s"), tier="mid")
     assert "PartitionFilters: [isnotnull(tier" in pruned._jdf.queryExecution().executedPlan().toString()
 
