@@ -145,3 +145,16 @@ def test_beta(spark, bars):
     m = (market.close / market.close.shift(1) - 1).reset_index(drop=True)
     want = r.rolling(60).cov(m) / m.rolling(60).var()
     np.testing.assert_allclose(one.beta.to_numpy(), want.to_numpy(), rtol=1e-8)
+
+
+def test_column_checks_and_padding(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None)], "Open double, high double, low double")
+    assert families.missing_columns(df) == ["close", "volume"]
+    r = df.select(families.padded(["high"], 3).alias("p"), families.padded(["Open", "high", "low"], 2).alias("cut")).first()
+    assert r.p == [2.0, 0.0, 0.0] and r.cut == [1.0, 2.0]
+    assert families.present(df, ["low", "nothing"]) == ["low"]
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (0.5,)], "x double")
+    from barloom.functions.expr import clip, finite
+
+    assert [x.v for x in odd.select(finite(F.col("x")).alias("v")).collect()] == [3.0, -3.0, 0.0, 0.0, 0.5]
+    assert [x.v for x in odd.select(clip(F.col("x"), -1, 1).alias("v")).collect()] == [1.0, -1.0, None, None, 0.5]
