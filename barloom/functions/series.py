@@ -142,7 +142,8 @@ class Series:
         return F.when(F.count(c).over(frame) == n, agg(F.col(c)).over(frame))
 
     def mean(self, c: str, n: int) -> Column:
-        return self.roll(F.avg, c, n)
+        # sum / n: an average would keep a second count beside the one that checks the window
+        return self.roll(lambda x: F.sum(x.cast("double")), c, n) / n
 
     def long_mean(self, names: dict[str, tuple[str, int]]) -> "Series":
         """Trailing means over long windows, as sums of lagged partial sums.
