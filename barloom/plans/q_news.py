@@ -276,11 +276,11 @@ def ticker_totals(spark, sf):
     return N.ticker_totals(G.sentiment_by_day(_graph_lines(spark, sf)))
 
 
-@query(f"WITH {GRAPH} SELECT doc_id, date FROM g1 WHERE date NOT IN (SELECT date FROM g1 WHERE doc_id % 60 < 10)")
+@query(f"WITH {GRAPH} SELECT doc_id, date FROM g1 WHERE date >= DATE '2024-01-11'")
 def graph_new_days(spark, sf):
     """Records of days that are not stored yet."""
     r = G.parse_lines(_graph_lines(spark, sf))
-    stored = r.filter(F.col("doc_id") % 60 < 10)
+    stored = r.filter(F.col("date") < F.lit("2024-01-11").cast("date"))
     return G.new_days(r, stored).select("doc_id", "date")
 
 

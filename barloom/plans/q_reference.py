@@ -242,7 +242,7 @@ TAX = f"""probe AS (SELECT s_name AS symbol, [{", ".join(_q(p) for p in PROBES)}
 def _probes(spark, sf):
     pick = lambda xs: F.element_at(F.array(*(F.lit(x) for x in xs)), (1 + F.col("s_suppkey") % len(xs)).cast("int"))
     return V.table(spark, sf, "supplier").select(
-        F.col("s_name").alias("symbol"), pick(PROBES).alias("industry"), pick(SECTOR_PROBES).alias("sector"), "s_suppkey"
+        F.col("s_name").alias("symbol"), pick(PROBES).alias("industry"), pick(SECTOR_PROBES).alias("sector"), "s_acctbal"
     )
 
 
@@ -262,7 +262,7 @@ def industry_fuzzy(spark, sf):
 def classify_uncached(spark, sf):
     """Only symbols without an earlier classification are classified; both parts come back."""
     p = _probes(spark, sf)
-    known = TX.classify(p.filter(F.col("s_suppkey") <= 30))
+    known = TX.classify(p.filter(F.col("s_acctbal") > 5000))
     return TX.classify_new(p, known).select("symbol", "sector_id", "industry_id")
 
 
@@ -368,14 +368,14 @@ def training_join(spark, sf):
 
 @query(
     final(
-        f"""(WITH {V.TICKS}, tr AS (SELECT * FROM ticks WHERE seq % 2 = 1), qu AS (SELECT symbol, time, price AS quote, size AS quote_size FROM ticks WHERE seq % 2 = 0)
+        f"""(WITH {V.TICKS}, tr AS (SELECT * FROM ticks WHERE exchange <> 'click'), qu AS (SELECT symbol, time, price AS quote, size AS quote_size FROM ticks WHERE exchange = 'click')
         SELECT tr.seq, tr.symbol, tr.price, qu.quote, qu.quote_size FROM tr ASOF LEFT JOIN qu ON tr.symbol = qu.symbol AND tr.time >= qu.time)""",
         "price quote",
     )
 )
 def as_of_join(spark, sf):
-    """Every odd tick with the newest even tick of its symbol at or before it."""
+    """Every other event with the newest click of its user at or before it."""
     t = V.event_ticks(spark, sf)
-    trades = t.filter(F.col("seq") % 2 == 1).select("seq", "symbol", "time", "price")
-    quotes = t.filter(F.col("seq") % 2 == 0).select("symbol", "time", F.col("price").alias("quote"), F.col("size").alias("quote_size"))
+    trades = t.filter(F.col("exchange") != "click").select("seq", "symbol", "time", "price")
+    quotes = t.filter(F.col("exchange") == "click").select("symbol", "time", F.col("price").alias("quote"), F.col("size").alias("quote_size"))
     return CX.as_of(trades, quotes, ["quote", "quote_size"]).select("seq", "symbol", "price", "quote", "quote_size")
