@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import quality, tokens
+from barloom.llm import mixing, quality, tokens, warc
 from barloom.llm.common import table
+from barloom.sources.stage import stage_root
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{stage_root(spark)}/barloom/warc-{uuid.uuid4().hex}"
+    return warc.round_trip(table(spark, sf_dir, "pages"), path)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +27,21 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_token_counts)}
-ORACLES: dict[str, str] = {}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op5_quality_rules, op6_token_counts, op8_mixing)}
+ORACLES = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           (((('0x' || substr(s, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT) >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), 'string_agg', '')
+       AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, url
+FROM d JOIN (SELECT page_id, url FROM pages) USING (page_id)
+""",
+}
