@@ -6,17 +6,29 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import mixing, quality, tokens, warc
+from barloom.llm import line_dedup, mixing, phrase_dedup, quality, suffix_dedup, tokens, warc
 from barloom.llm.common import table
 from barloom.sources.stage import stage_root
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = suffix_dedup.removed_length().alias("n_removed")
+    return found.select("doc_id", "n_bytes", removed, F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{stage_root(spark)}/barloom/warc-{uuid.uuid4().hex}"
     return warc.round_trip(table(spark, sf_dir, "pages"), path)
 
 
+def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +43,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op5_quality_rules, op6_token_counts, op8_mixing)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept", "UTF-8")).alias("kept_md5"))
+
+
+_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op5_quality_rules, op6_token_counts, op8_mixing, op9_line_dedup)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
