@@ -38,14 +38,16 @@ def left_join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: in
     """Left join with a table of unique keys, where one key may hold a large share of ``rows``.
 
     ``keyed`` has the number of rows of every key in ``n`` and is joined in two parts: keys with more than a
-    thousandth of all rows (a thousand keys at most, hence broadcast) and the rest, shuffled. Rows whose key was hot
-    are dealt by ``row_id`` in the second part, so no task gets a hot key's rows.
+    thousandth of all rows (a thousand keys at most, hence broadcast) and the rest, shuffled. Rows whose key was hot,
+    or is null, are dealt by ``row_id`` in the second part, so no task gets a hot key's rows.
     """
     extra = [c for c in keyed.columns if c != key]
     hot = F.col(n) > F.lit(max(1, total // HOT_SHARE))
     few = keyed.filter(hot).select(key, F.lit(True).alias("_hot"), *(F.col(c).alias(f"_hot_{c}") for c in extra))
-    rest = keyed.filter(~hot).withColumnRenamed(key, "_key")
+    rest = keyed.filter(~hot).withColumnRenamed(key, "_key").withColumn("_by_row", F.lit(False))
     found = rows.join(F.broadcast(few), key, "left")
-    dealt = F.when(F.col("_hot"), F.concat(F.lit("hot-row-"), row_id.cast("string"))).otherwise(F.col(key).cast("string"))
-    joined = found.withColumn("_dealt", dealt).join(rest, F.col("_dealt") == F.col("_key").cast("string"), "left")
+    by_row = F.coalesce(F.col("_hot"), F.lit(False)) | F.col(key).isNull()
+    kind = keyed.schema[key].dataType
+    found = found.withColumn("_dealt", F.when(by_row, row_id.cast(kind)).otherwise(F.col(key))).withColumn("_by_row_left", by_row)
+    joined = found.join(rest, (F.col("_dealt") == F.col("_key")) & (F.col("_by_row_left") == F.col("_by_row")), "left")
     return joined.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in extra))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, mixing, phrase_dedup, quality, suffix_dedup, tokens, warc
+from barloom.llm import line_dedup, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, tokens, warc
 from barloom.llm.common import table
 from barloom.sources.stage import stage_root
 
@@ -29,6 +29,10 @@ def op3_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,7 +52,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept", "UTF-8")).alias("kept_md5"))
 
 
-_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op5_quality_rules, op6_token_counts, op8_mixing, op9_line_dedup)
+_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op8_mixing, op9_line_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op2_warc": """
