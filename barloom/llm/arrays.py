@@ -34,7 +34,7 @@ def span_hashes(atoms: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: i
     than PIECE are hashed one by one.
     """
     out = np.empty(len(starts), U)
-    up, down = powers(PIECE + 1, salt)
+    up, down = powers(min(PIECE, len(atoms)) + 1, salt)
     values = mix64(np.arange(256, dtype=U) + U(salt + 1)) if atoms.dtype == np.uint8 else None
     a, n = 0, len(starts)
     while a < n:
