@@ -92,7 +92,7 @@ def document_stats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([text_stats(t) for t in texts_of(batch.column(1))], np.int64).reshape(-1, len(STATS))
+            rows = _stat_rows(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=[key, *STATS])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -205,20 +205,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     return train(feature_matrix(got[list(STATS)].to_numpy()), y, list(FEATURES.values()))
 
 
+def verdicts(rows: np.ndarray, model: Trees | None, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Base failures, keeps and log-odds of STATS rows."""
+    failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
+    margin = model.margin(feature_matrix(rows)) if model else np.full(len(rows), np.inf)
+    return failed, ~failed & (margin >= np.log(least / (1 - least))), margin
+
+
+def _stat_rows(column: pa.Array) -> np.ndarray:
+    return np.array([text_stats(t) for t in texts_of(column)], np.int64).reshape(-1, len(STATS))
+
+
+def clean(docs: DataFrame, model: Trees | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The documents that ``judge`` keeps, with all their columns."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(_stat_rows(batch.column(text)), model, least)[1]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def judge(docs: DataFrame, model: Trees | None, text: str = "text", key: str = "doc_id", least: float = 0.5) -> DataFrame:
     """Statistics, base rules and verdict per document; one row per input row.
 
     ``kept``: not failed by a base rule (fewer than 50 words, or more than half of the words in repeated windows), and
     the trees give a probability of good quality of at least ``least``. Null and empty texts fail.
     """
-    edge = float(np.log(least / (1 - least)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([text_stats(t) for t in texts_of(batch.column(1))], np.int64).reshape(-1, len(STATS))
-            failed = (rows[:, 0] < 50) | (100 * rows[:, 4] > 50 * rows[:, 0])
-            margin = model.margin(feature_matrix(rows)) if model else np.full(len(rows), np.inf)
-            keep = ~failed & (margin >= edge)
+            rows = _stat_rows(batch.column(1))
+            failed, keep, margin = verdicts(rows, model, least)
             score = 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[:, i]) for i in range(5)), pa.array(failed), pa.array(keep), pa.array(score)], names=[key, *STATS[:5], "base_failed", "kept", "score"])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, tokens, warc
+from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, tokens, warc
 from barloom.llm.common import table
 from barloom.sources.stage import stage_root
 
@@ -43,6 +43,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept", "UTF-8")).alias("kept_md5"))
 
 
-_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op8_mixing, op9_line_dedup)
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: their source and language are directories."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.lit(""), F.col("source"), F.col("lang"), F.col("doc_id").cast("string"))
+    found = licenses.scan(docs.select(path.alias("path"), "text"))
+    doc_id = F.element_at(F.split("path", "/"), -1).cast("long")
+    return found.select(doc_id.alias("doc_id"), "own_license", "cosine", "license", "inherited_from", "n_words")
+
+
+_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op7_decontamination, op8_mixing, op9_line_dedup, op10_license_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
+    "op7_decontamination": decontaminate.ORACLE,
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p)
