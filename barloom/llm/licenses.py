@@ -123,3 +123,53 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     out = left_join_hot(judged, known, "dir", "n", judged.count(), F.xxhash64("path"))
     from_dir = F.col("own_license").isNull() & F.col("dir_license").isNotNull()
     return out.select("path", "own_license", "cosine", F.coalesce("own_license", "dir_license").alias("license"), F.when(from_dir, F.col("from")).alias("inherited_from"), "n_words")
+
+
+def oracle() -> str:
+    """The scan of documents as files /source/lang/doc_id, as SQL."""
+    values = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+    return rf"""
+WITH files AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', '', source, lang, doc_id::VARCHAR) AS path,
+         concat_ws('/', '', source, lang) AS dir0 FROM documents),
+f AS (SELECT *, CASE WHEN dir0 = '' THEN '/' ELSE dir0 END AS dir, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words FROM files),
+said AS (
+  SELECT DISTINCT path, l AS passage FROM (SELECT path, unnest(string_split(text, chr(10))) AS l FROM f)
+  WHERE regexp_matches(l, '{CUE[4:]}', 'i')),
+t(template, license, passage) AS (VALUES {values}),
+terms AS (
+  SELECT passage, term, count(*) AS tf
+  FROM (SELECT passage, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM (SELECT DISTINCT passage FROM said))
+  GROUP BY ALL),
+tt AS (
+  SELECT template, license, term, count(*) AS tf
+  FROM (SELECT template, license, unnest(regexp_extract_all(lower(passage), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM t) GROUP BY ALL),
+n AS (SELECT (SELECT count(DISTINCT passage) FROM terms) + (SELECT count(DISTINCT template) FROM tt) AS n),
+idf AS (
+  SELECT term, ln((n + 1.0) / (count(*) + 1)) + 1 AS idf
+  FROM (SELECT term FROM terms UNION ALL SELECT term FROM tt), n GROUP BY term, n),
+v AS (SELECT passage, term, tf * idf AS w FROM terms JOIN idf USING (term)),
+x AS (SELECT template, license, term, tf * idf AS x FROM tt JOIN idf USING (term)),
+nv AS (SELECT passage, sqrt(sum(w * w)) AS nw FROM v GROUP BY passage),
+nx AS (SELECT template, sqrt(sum(x * x)) AS nx FROM x GROUP BY template),
+c AS (
+  SELECT passage, license, round(sum(w * x) / (nw * nx), 6) AS cosine
+  FROM v JOIN x USING (term) JOIN nv USING (passage) JOIN nx USING (template) GROUP BY passage, template, license, nw, nx),
+best AS (
+  SELECT passage, license, cosine FROM c WHERE cosine >= {LEAST}
+  QUALIFY row_number() OVER (PARTITION BY passage ORDER BY cosine DESC, license) = 1),
+hit AS (SELECT path, license, cosine, len(regexp_extract_all(passage, '[^\x20\x09-\x0D]+')) AS k FROM said JOIN best USING (passage)),
+own AS (
+  SELECT path, license AS own_license, cosine, sum(k) OVER (PARTITION BY path) AS said FROM hit
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+j AS (SELECT * FROM f LEFT JOIN own USING (path)),
+dirs AS (
+  SELECT dir AS up, own_license AS dir_license, path AS from_path FROM j WHERE own_license IS NOT NULL AND said >= {SHARE} * n_words
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_license, path) = 1),
+near AS (
+  SELECT dir, dir_license, from_path FROM (SELECT DISTINCT dir FROM j) JOIN dirs ON dir = up OR starts_with(dir, up || '/') OR up = '/'
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(up) DESC) = 1)
+SELECT doc_id, own_license, cosine, coalesce(own_license, dir_license) AS license,
+       CASE WHEN own_license IS NULL THEN from_path END AS inherited_from, n_words::BIGINT AS n_words
+FROM j LEFT JOIN near USING (dir)
+"""

@@ -106,10 +106,13 @@ def remove_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 def clean(docs: DataFrame) -> DataFrame:
     """The documents with repeated runs of lines deleted, n_chars set anew; those of which no line is left go.
 
-    Documents that had no line with a word before are kept as they are. Keyed by id and by the order of rows with one
-    id: the rest of a row travels with its text, so rows that share an id keep their own columns.
+    Documents that had no line with a word before stay (null as empty). The other columns travel with their text, so
+    rows that share an id keep their own.
     """
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    found = remove_shared(docs, SCHEME, _finish, "doc_id long, kept string, n_lines long, n_removed long", "text", "doc_id", rest)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    renamed = docs.select("doc_id", "text", *(F.col(c).alias(f"_own_{c}") for c in rest))
+    fields = "doc_id long, kept string, n_lines long, n_removed long"
+    found = remove_shared(renamed, SCHEME, _finish, fields, carry=tuple(f"_own_{c}" for c in rest))
     some = found.filter((F.col("n_removed") < F.col("n_lines")) | (F.col("n_lines") == 0))
-    return some.select(*(F.col("kept").alias("text") if c == "text" else F.char_length("kept").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    return some.select(*(new.get(c, F.col(f"_own_{c}")).alias(c) for c in docs.columns))

@@ -135,10 +135,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The documents the mix takes, with ``copies`` and ``taken``; untaken ones go. Rows alike in key and text share one draw."""
+    """The documents the mix takes, with ``copies`` and ``taken`` (in place of columns of these names); untaken ones go.
+
+    Rows alike in key and text share one draw, the larger.
+    """
     same = F.xxhash64("text")
     drawn = mix(docs.withColumn("_same", same), weights, share, most, keep=("doc_id", "_same"))
     drawn = drawn.filter("copies > 0").groupBy("doc_id", "_same").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
     left = docs.withColumn("_same", same)
     on = left["doc_id"].eqNullSafe(drawn["doc_id"]) & left["_same"].eqNullSafe(drawn["_same"])
-    return left.join(drawn, on).select(*(left[c] for c in docs.columns), drawn["copies"], drawn["taken"])
+    own = [left[c] for c in docs.columns if c not in ("copies", "taken")]
+    return left.join(drawn, on).select(*own, drawn["copies"], drawn["taken"])

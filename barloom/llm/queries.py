@@ -69,6 +69,7 @@ _ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_qualit
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op7_decontamination": decontaminate.ORACLE,
+    "op10_license_scan": licenses.oracle(),
     "op2_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, min(page_id) OVER (PARTITION BY sha1(h)) AS first FROM p)

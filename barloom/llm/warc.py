@@ -180,7 +180,7 @@ def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
     in between are one gap. An empty archive has neither.
     """
     at, bad, reason = 0, None, ""
-    begins = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.\d\r\n")
+    begins = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d\r\n")
     while at < len(data):
         try:
             if data.startswith(MAGIC, at):
