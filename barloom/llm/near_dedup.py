@@ -6,8 +6,8 @@ similarity, since the base is close to 1. Bands of registers name candidates; th
 sets' registers and sizes rules out what is far below the threshold; the full sets decide.
 
 Documents with equal sets are one node. In every band bucket all nodes are first tested against one of them, so a
-bucket of k nodes costs k tests. Only buckets whose nodes are not all connected then are compared further, in blocks,
-and there only nodes of different components. So no link between components is lost and no group is expanded.
+bucket of k nodes costs k tests. Only where the nodes of a bucket are not all connected then are they compared further,
+in blocks, and there only nodes of different components. No link between components is lost, no group is expanded.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import U, mix64, word_hashes
@@ -30,7 +30,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Standard deviations of the estimate below the threshold from which on a pair is not confirmed.
 SLACK = 5.0
 #: Nodes of a block where buckets are compared within themselves.
-BLOCK = 2048
+BLOCK = 512
 #: Longs that may be broadcast: 8 MB.
 BROADCAST_ROWS = 1 << 20
 #: Hashes looked at at once; they stay in a core's cache.
@@ -223,36 +223,100 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def _open_pairs(buckets: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs of nodes of different components that share a bucket, other than pairs with its hub."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        node, root, hub, n = (rows.column(c).to_numpy() for c in ("node", "root", "hub", "n"))
-        block = rows.column("block").to_numpy()
-        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        one, two = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        found = [(np.zeros(0, np.int64),) * 2]
-        for i in left:
-            j = right[(node[right] > node[i]) | (one != two)]
-            j = j[(root[j] != root[i]) & (node[j] != hub[j]) & (node[i] != hub[i])]
-            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-            if len(j):
-                ok = plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)
-                found.append((np.full(ok.sum(), node[i]), node[j[ok]]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    total = buckets.count()
+class Sets:
+    """Disjoint sets of a block's components."""
+
+    def __init__(self, roots: np.ndarray):
+        self.up = {int(r): int(r) for r in np.unique(roots)}
+
+    def top(self, r: int) -> int:
+        while self.up[r] != r:
+            self.up[r] = self.up[self.up[r]]
+            r = self.up[r]
+        return r
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.top(a), self.top(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _meet(rows: pa.Table, one: int, two: int, percent: int, accept) -> tuple[list[int], list[int]]:
+    """Pairs that join components of a block pair, a forest at most: plausible by their registers, and ``accept``ed."""
+    node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+    regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    sets, found = Sets(root), ([], [])
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    least = REGISTERS * (percent / 100 - SLACK * np.sqrt(0.16 / REGISTERS) - 0.05)  # few pairs need the likelihood
+    for i in left:
+        j = right[(root[right] != root[i]) & ((node[right] > node[i]) | (one != two))]
+        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+        j = j[(regs[j] == regs[i]).sum(1) >= least]
+        if not len(j):
+            continue
+        j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
+        for k in j:
+            if sets.top(int(root[i])) != sets.top(int(root[k])) and accept(i, k):
+                sets.join(int(root[i]), int(root[k]))
+                found[0].append(int(min(node[i], node[k])))
+                found[1].append(int(max(node[i], node[k])))
+    return found
+
+
+def _dealt_in_blocks(members: DataFrame, group: str, sizes: DataFrame, total: int) -> DataFrame:
+    """Rows of a group (``sizes``: group, k, blocks) for every pair of its blocks: (group, one, two) meet in a task."""
+    dealt = left_join_hot(members, sizes, group, "k", total, F.xxhash64("node")).filter("blocks IS NOT NULL").drop("k")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meets.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def _blocks() -> Column:
+    return F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")
+
+
+def more_links(buckets: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components that the stars have not found; enough of them to join what is linked.
+
+    Components with plausible pairs in one bucket form clusters (of such pairs a forest travels). The nodes of a cluster
+    then meet in blocks with their full sets, where pairs of components not joined yet are tested one by one. So
+    neither candidates nor links are expanded into all pairs.
+    """
+
+    def near(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        node, hub = rows.column("node").to_numpy(), rows.column("hub").to_numpy()
+        root = dict(zip(node.tolist(), rows.column("root").to_pylist(), strict=True))
+        a, b = _meet(rows, key[1].as_py(), key[2].as_py(), percent, lambda i, k: node[i] != hub[i] and node[k] != hub[k])
+        return pa.table({"a": pa.array([root[x] for x in a], pa.int64()), "b": pa.array([root[x] for x in b], pa.int64())})
+
+    def exact(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        sets = rows.column("items").combine_chunks()
+        flat, edge = sets.values.to_numpy(), sets.offsets.to_numpy()
+
+        def linked(i: int, k: int) -> bool:
+            x, y = flat[edge[i] : edge[i + 1]], flat[edge[k] : edge[k + 1]]
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+        a, b = _meet(rows, key[1].as_py(), key[2].as_py(), percent, linked)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    slim = nodes.select("node", "registers", "n")
     members = stage(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-members")
     torn = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).filter("x != y AND k > 2")
-    torn = torn.select("bucket", "k", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    open_ = left_join_hot(members, torn, "bucket", "k", total, F.xxhash64("node")).filter("blocks IS NOT NULL").drop("k")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other"))
-    with_regs = meets.join(nodes.select("node", "registers", "n"), "node")
-    return with_regs.groupBy("bucket", "one", "two").applyInArrow(run, "a long, b long").distinct()
+    torn = stage(torn.select("bucket", "k", _blocks()), "near-torn")
+    total = members.count()
+    meets = _dealt_in_blocks(members, "bucket", torn, total).join(slim, "node")
+    touching = meets.groupBy("bucket", "one", "two").applyInArrow(near, "a long, b long").distinct()
+    clusters = stage(components(touching).select(F.col("node").alias("root"), F.col("root").alias("cluster")), "near-clusters")
+    in_torn = members.join(torn.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
+    inside = stage(in_torn.join(clusters, "root").select("node", "root", "cluster"), "near-inside")
+    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", "k", _blocks())
+    wanted = inside.select("node").join(nodes.select("node", "text_hash"), "node").select("text_hash").distinct()
+    sets = stage(full_sets(docs, size, wanted), "near-sets")
+    met = _dealt_in_blocks(inside, "cluster", sizes, inside.count()).join(slim, "node").join(sets, "node")
+    return met.groupBy("cluster", "one", "two").applyInArrow(exact, "a long, b long")
 
 
 def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
@@ -272,10 +336,9 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     stars = stage(_pairs_with_registers(stars, nodes, percent), "near-stars")
     links = stage(confirmed(stars, docs, nodes, size, percent), "near-confirmed")
     roots = stage(components(links), "near-roots")
-    more = stage(_open_pairs(buckets, nodes, roots, percent), "near-open")
+    more = stage(more_links(buckets, docs, nodes, roots, size, percent), "near-more")
     if more.count():
-        links = links.unionByName(confirmed(more, docs, nodes, size, percent))
-        roots = stage(components(links), "near-roots")
+        roots = stage(components(links.unionByName(more)), "near-roots")
     per_node = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"))
     rooted = per_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("smallest"), F.count(F.lit(1)).alias("nodes"))
