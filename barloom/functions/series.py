@@ -55,21 +55,26 @@ def number_rows(
         df = stage(df, "rows")
     order = list(order or [time])
     key = list(key)
-    df = df.withColumn("_chunk", F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk)
-    sizes = df.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        *key, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
-    )
-    inside = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    # grouped by one struct: it is never null, so rows with a null key or time keep their place (nulls first)
+    unit = F.date_trunc(chunk, F.col(time)) if isinstance(chunk, str) else chunk
+    df = df.withColumn("_g", F.struct(group_of(key).alias("key"), unit.alias("chunk")))
+    sizes = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_g.key").orderBy("_g.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_g").orderBy(*order)
     return (
         df.withColumn("_i", F.row_number().over(inside))
-        .join(starts, [*key, "_chunk"])
+        .join(starts, "_g")
         .withColumn("_t", (F.col("_start") + F.col("_i") - 1).cast("long"))
-        .drop("_chunk", "_i", "_start")
+        .drop("_g", "_i", "_start")
     )
 
 
+def group_of(key: Sequence[str]) -> Column:
+    """The key columns as one struct, which is not null where they are."""
+    return F.struct(*(F.col(k) for k in key)) if key else F.struct(F.lit(0).alias("all"))
+
+
 class Series:
     """Keyed, ordered rows cut into overlapping blocks."""
 
@@ -78,7 +83,7 @@ class Series:
         self.key = list(key)
         self.size = size
         self.numbered = numbered
-        self.w = Window.partitionBy(*self.key, "_blk").orderBy("_t")
+        self.w = Window.partitionBy("_key", "_blk").orderBy("_t")
 
     @classmethod
     def of(
@@ -106,7 +111,7 @@ class Series:
         first = F.greatest(F.lit(0), F.floor((F.col("_t") - ahead) / size))
         last = F.floor((F.col("_t") + behind) / size)
         cut = df.withColumn("_home", home).withColumn("_blk", F.explode(F.sequence(first, last)))
-        cut = cut.withColumn("_own", F.col("_blk") == F.col("_home")).drop("_home")
+        cut = cut.withColumn("_own", F.col("_blk") == F.col("_home")).drop("_home").withColumn("_key", group_of(key))
         return cls(cut, key, size, numbered)
 
     def _with(self, df: DataFrame) -> "Series":
@@ -122,7 +127,7 @@ class Series:
 
     def own(self, keep_t: bool | None = None) -> DataFrame:
         """Each input row once, with everything computed on it; ``_t`` stays if the input had it."""
-        out = self.df.filter("_own").drop("_blk", "_own")
+        out = self.df.filter("_own").drop("_blk", "_own", "_key")
         return out if (self.numbered if keep_t is None else keep_t) else out.drop("_t")
 
     # -- window expressions --------------------------------------------------------------------
@@ -174,7 +179,8 @@ class Series:
         decay 1 gives a running total, below 1 a recursive average. Inside a block the recursion is
         one cumulative window; the carry is what the preceding blocks contribute: a running total
         of block sums for decay 1, else the few last blocks that still weigh more than 1e-16.
-        Results are defined on own rows only.
+        Results are defined on own rows only. Positions may be missing (a filtered stored layer): a block's
+        contribution is read at its last own row, and blocks without rows are passed over.
         """
         pos = F.col("_t") - F.col("_blk") * self.size
         upto = self.w.rowsBetween(Window.unboundedPreceding, 0)
@@ -186,23 +192,24 @@ class Series:
             total = F.sum(F.when(F.col("_own"), weighted)).over(upto)
             local[f"_{name}_in"] = total if decay == 1 else total * F.pow(F.lit(decay), pos)
         frame = self.df.withColumns(local)
-        ends = frame.filter(F.col("_own") & (pos == self.size - 1)).select(
-            *self.key, (F.col("_blk") + 1).alias("_blk"), *local
-        )
-        blocks = Window.partitionBy(*self.key).orderBy("_blk")
+        own = frame.filter("_own").groupBy("_key", "_blk")
+        ends = own.agg(F.max("_t").alias("_end"), *(F.max_by(n, "_t").alias(n) for n in local))
+        blocks = Window.partitionBy("_key").orderBy("_blk")
+        left = F.col("_blk") * self.size + self.size - 1 - F.col("_end")  # rows from the last own row to the block's end
         carry = []
         for name, (_, decay) in specs.items():
             end = f"_{name}_in"
             if decay == 1:
-                total = F.sum(end).over(blocks.rowsBetween(Window.unboundedPreceding, 0))
+                total = F.sum(end).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
             else:
-                fade = decay**self.size
                 reach = max(1, math.ceil(37 / (-math.log(decay) * self.size)))
-                total = F.coalesce(F.col(end), F.lit(0.0))
-                for k in range(1, reach):
-                    total = total + F.coalesce(F.lag(end, k).over(blocks), F.lit(0.0)) * fade**k
+                ends = ends.withColumn(end, F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(decay), left))
+                total = F.lit(0.0)
+                for k in range(1, reach + 1):
+                    gap = (F.col("_blk") - F.lag("_blk", k).over(blocks) - 1) * self.size
+                    total = total + F.coalesce(F.lag(end, k).over(blocks) * F.pow(F.lit(decay), gap), F.lit(0.0))
             carry.append(total.alias(f"_{name}_carry"))
-        joined = frame.join(ends.select(*self.key, "_blk", *carry), [*self.key, "_blk"], "left")
+        joined = frame.join(ends.select("_key", "_blk", *carry), ["_key", "_blk"], "left")
         outs = {}
         for name, (_, decay) in specs.items():
             brought = F.coalesce(F.col(f"_{name}_carry"), F.lit(0.0))
@@ -215,11 +222,11 @@ class Series:
     def running_max(self, name: str, c: str) -> "Series":
         """Add the largest value of ``c`` so far: inside the block, and over the blocks before it."""
         frame = self.df.withColumn("_v", F.when(F.col("_own"), F.col(c)))
-        tops = frame.filter("_own").groupBy(*self.key, "_blk").agg(F.max("_v").alias("_top"))
-        earlier = Window.partitionBy(*self.key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        before = tops.select(*self.key, "_blk", F.max("_top").over(earlier).alias("_before"))
+        tops = frame.filter("_own").groupBy("_key", "_blk").agg(F.max("_v").alias("_top"))
+        earlier = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        before = tops.select("_key", "_blk", F.max("_top").over(earlier).alias("_before"))
         inside = F.max("_v").over(self.w.rowsBetween(Window.unboundedPreceding, 0))
-        out = frame.withColumn("_in", inside).join(before, [*self.key, "_blk"], "left")
+        out = frame.withColumn("_in", inside).join(before, ["_key", "_blk"], "left")
         out = out.withColumn(name, F.greatest("_in", "_before")).drop("_v", "_in", "_before")
         return self._with(out)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import ratio
@@ -21,6 +21,20 @@ def bucket(time: str | Column, size: str) -> Column:
     return F.window(c.cast("timestamp"), BUCKETS.get(size, size)).start.cast("timestamp_ntz")
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order as one value of fixed width, so that first and last are hash aggregates and no task sorts its ticks.
+
+    A time and a whole number are packed into one decimal. Other orders of several columns stay a struct.
+    """
+    if len(order) == 1:
+        return F.col(order[0])
+    kinds = [df.schema[c].dataType.typeName() for c in order]
+    if len(order) == 2 and kinds[0] in ("date", "timestamp", "timestamp_ntz") and kinds[1] in ("byte", "short", "integer", "long"):
+        micros = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(19,0)")
+        return (micros * F.lit(str(2**64)).cast("decimal(20,0)") + F.col(order[1])).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def bars_from_ticks(
     ticks: DataFrame,
     size: str,
@@ -34,7 +48,7 @@ def bars_from_ticks(
     Partial aggregation before the shuffle keeps a hot symbol cheap: what travels is one row per
     (task, symbol, bucket).
     """
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    at = order_key(ticks, order)
     value = F.col("price") * F.col("size")
     return (
         ticks.groupBy(*key, bucket(time, size).alias("time"))
@@ -99,5 +113,5 @@ def mean_spread(quotes: DataFrame, *, key: Sequence[str] = ("symbol",)) -> DataF
 def dedupe_key(df: DataFrame, key: Sequence[str] = ("symbol", "time"), order: Sequence[str] = ("seq",)) -> DataFrame:
     """Keep the first row of every key in the given order."""
     rest = [c for c in df.columns if c not in key]
-    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*key).agg(first).select(*key, "_row.*")
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").select(*key, *rest)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.series import group_of
+
 
 def market_context(bars: DataFrame, names: Sequence[str], value: str = "close") -> DataFrame:
     """One row per time with ``{name}_{value}`` for every series, forward-filled.
@@ -26,40 +28,51 @@ def forward_fill(
     Filled inside calendar chunks first; a chunk whose head is empty takes the last known value of the
     chunks before it, read from one summary row per chunk. No task holds a whole series.
     """
-    ordered = df.withColumns({"_at": F.col(time), "_o": F.struct(time)})
+    ordered = df.withColumns({"_at": F.col(time), "_o": F.col(time)})
     return _fill_ordered(ordered, names, list(key), chunk).drop("_at", "_o")
 
 
 def as_of(
     left: DataFrame, right: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), chunk: str = "hour"
 ) -> DataFrame:
-    """Left rows with the newest right values at or before their time (clocks may differ).
+    """Left rows with the newest right row at or before their time (clocks may differ).
 
-    ``chunk`` is the calendar unit of a key that meets in one task; ticks need a small one.
+    The values come from one right row, nulls in it included. All left rows stay: a null key meets null keys, a null
+    time finds nothing. ``chunk`` is the calendar unit of a key that meets in one task; ticks need a small one.
     """
     key = list(key)
-    mark = left.withColumns({n: F.lit(None).cast(right.schema[n].dataType) for n in names}).withColumn("_left", F.lit(True))
-    both = mark.unionByName(right.select(*key, "time", *names).withColumn("_left", F.lit(False)), allowMissingColumns=True)
+    found = right.filter(F.col("time").isNotNull()).select(*key, "time", F.struct(*names).alias("_found"))
+    empty = F.lit(None).cast(found.schema["_found"].dataType)
+    mark = left.withColumn("_found", empty).withColumn("_left", F.lit(True))
+    both = mark.unionByName(found.withColumn("_left", F.lit(False)), allowMissingColumns=True)
     # at equal times the right row must come first; the tie is broken by shifting left rows past it
     both = both.withColumn("_at", F.col("time").cast("timestamp"))
-    both = both.withColumn("_o", F.struct("_at", "_left"))
-    return _fill_ordered(both, names, key, chunk).filter("_left").drop("_left", "_at", "_o")
+    both = both.withColumn("_o", 2 * F.unix_micros("_at") + F.col("_left").cast("int"))
+    out = _fill_ordered(both, ["_found"], key, chunk).filter("_left").drop("_left", "_at", "_o")
+    return out.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
 
 
 def _fill_ordered(df: DataFrame, names: Sequence[str], key: list[str], chunk: str) -> DataFrame:
-    df = df.withColumn("_chunk", F.date_trunc(chunk, F.col("_at")))
-    ends = df.groupBy(*key, "_chunk").agg(
-        *(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_o"))).alias(f"_{n}_end") for n in names)
-    )
-    earlier = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # one struct of key and chunk: it is never null, so no row is lost in the join
+    df = df.withColumn("_g", F.struct(group_of(key).alias("key"), F.date_trunc(chunk, F.col("_at")).alias("chunk")))
+    if len(names) == 1:
+        # the last known value of a chunk may be of any type: cut to one row per task and chunk before the shuffle
+        last = Window.partitionBy("_g").orderBy(F.col(names[0]).isNull(), F.desc("_o"))
+        ends = df.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1")
+        ends = ends.select("_g", F.col(names[0]).alias(f"_{names[0]}_end"))
+    else:
+        ends = df.groupBy("_g").agg(
+            *(F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_o"))).alias(f"_{n}_end") for n in names)
+        )
+    earlier = Window.partitionBy("_g.key").orderBy("_g.chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
-        *key, "_chunk", *(F.last(f"_{n}_end", ignorenulls=True).over(earlier).alias(f"_{n}_carry") for n in names)
+        "_g", *(F.last(f"_{n}_end", ignorenulls=True).over(earlier).alias(f"_{n}_carry") for n in names)
     )
-    inside = Window.partitionBy(*key, "_chunk").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_g").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
     filled = df.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
-    out = filled.join(carry, [*key, "_chunk"])
+    out = filled.join(carry, "_g")
     out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_{n}_carry")) for n in names})
-    return out.drop("_chunk", *(f"_{n}_carry" for n in names))
+    return out.drop("_g", *(f"_{n}_carry" for n in names))
 
 
 def join_context(bars: DataFrame, context: DataFrame) -> DataFrame:

@@ -44,8 +44,10 @@ def missing_columns(df: DataFrame, required: Sequence[str] = ("open", "high", "l
 
 
 def padded(columns: Sequence[str], width: int) -> Column:
-    """The columns as an array of exactly ``width`` doubles: zeros appended, or cut."""
-    cols = [F.col(c).cast("double") for c in columns][:width]
+    """The columns as an array of exactly ``width`` doubles, zeros appended. More columns than that are an error."""
+    if len(columns) > width:
+        raise ValueError(f"{len(columns)} columns do not fit into {width} places")
+    cols = [F.col(c).cast("double") for c in columns]
     return F.concat(F.array(*cols), F.array_repeat(F.lit(0.0), width - len(cols)))
 
 

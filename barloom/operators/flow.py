@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import clip, fdiv, flag, pct
 from barloom.functions.series import Series
+from barloom.operators.latest import last_n
 
 BEHIND = 200
 
@@ -138,8 +139,8 @@ def add_flow(bars: DataFrame, *, short_interest: str | None = None, **how) -> Da
 
 def latest_signals(flow: DataFrame) -> DataFrame:
     """Newest flow summary per symbol, with the interpretation rules applied."""
-    last = flow.groupBy("symbol").agg(F.max_by(F.struct("time", *FEATURES), "time").alias("x"))
-    out = last.select(
+    newest = last_n(flow, 1, order=("time",)).select("symbol", F.struct("time", *FEATURES).alias("x"))
+    out = newest.select(
         "symbol",
         F.col("x.time").alias("time"),
         F.col("x.unusual_volume").alias("unusual_volume_score"),

@@ -27,14 +27,13 @@ def latest_price(bars: DataFrame, symbol: str | None = None) -> DataFrame:
 def latest_row(df: DataFrame, *, key: Sequence[str] = ("symbol",), order: Sequence[str] = ("time", "seq")) -> DataFrame:
     """The newest row per key."""
     rest = [c for c in df.columns if c not in key]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*key).agg(newest).select(*key, "_row.*")
+    return last_n(df, 1, key=key, order=order).select(*key, *rest)
 
 
 def latest_signal(signals: DataFrame, symbol: str) -> DataFrame:
-    """Newest signal of one symbol: time, composite_signal, action, confidence."""
+    """Newest signal of one symbol (of one time the strongest): time, composite_signal, action, confidence."""
     mine = signals.filter(F.col("symbol") == symbol)
-    return mine.orderBy(F.desc("time")).limit(1).select("time", "composite_signal", "action", "confidence")
+    return mine.orderBy(F.desc("time"), F.desc("composite_signal"), F.desc("confidence"), "action").limit(1).select("time", "composite_signal", "action", "confidence")
 
 
 def last_n(

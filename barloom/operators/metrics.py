@@ -103,7 +103,7 @@ def portfolio_metrics(returns: DataFrame, *, key: tuple[str, ...] = ("symbol",),
     # the line starts from 1, so the peak is never below log 1 = 0
     fall = 1 - F.exp(F.col("_wealth") - F.greatest(F.col("_peak"), F.lit(0.0)))
     draw = s.own().groupBy(*key).agg(F.max(fall).alias("max_drawdown"))
-    base = rows.groupBy(*key).agg(
+    base = numbered.groupBy(*key).agg(
         (F.exp(F.sum("_l")) - 1).alias("total_return"),
         (ratio(F.avg("r"), F.stddev_samp("r")) * math.sqrt(252)).alias("sharpe_ratio"),
         F.avg((F.col("r") > 0).cast("double")).alias("win_rate"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import clip, ratio
@@ -44,10 +44,15 @@ def fan_in(*sources: DataFrame) -> DataFrame:
     return out
 
 
+def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The first row per key in an explicit order. Each task keeps one row per key before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+
+
 def first_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The first row per key in an explicit order. Copies collapse before the shuffle."""
-    rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+    """The first row per value of one column, which comes first."""
+    return first_of(df, [key], order).select(key, *(c for c in df.columns if c != key))
 
 
 def dedupe_articles(df: DataFrame, order: Sequence[str] = ("source_rank", "article_id")) -> DataFrame:
@@ -60,20 +65,27 @@ def new_only(df: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
-def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Insert or replace: rows of ``delta`` win over rows of ``base`` with the same keys."""
-    return base.join(delta.select(*keys), list(keys), "left_anti").unionByName(delta, allowMissingColumns=True)
+def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Insert or replace: rows of ``delta`` win over rows of ``base`` with the same keys.
+
+    Of rows of ``delta`` with the same keys the last in ``order`` wins; without an order its keys must be unique.
+    """
+    if order:
+        delta = first_of(delta, keys, [F.desc(c) for c in order])
+    kept = base.join(delta.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(delta.select(*(c for c in delta.columns if c not in order or c in base.columns)), allowMissingColumns=True)
 
 
 def in_range(df: DataFrame, symbol: str, start: str | None = None, end: str | None = None, time: str = "published") -> DataFrame:
-    """Articles of a symbol between two times, newest first."""
+    """Articles of a symbol between two times, newest first, then by id where there is one."""
     out = df.filter(F.col("symbol") == symbol)
     kind = df.schema[time].dataType
     if start is not None:
         out = out.filter(F.col(time) >= F.lit(start).cast(kind))
     if end is not None:
         out = out.filter(F.col(time) <= F.lit(end).cast(kind))
-    return out.orderBy(F.desc(time))
+    ties = [c for c in ("article_id", "hash", "url") if c in out.columns]
+    return out.orderBy(F.desc(time), *ties)
 
 
 def daily_range(df: DataFrame, symbol: str, start: str, end: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import fdiv
@@ -80,7 +80,8 @@ def delisting_labels(prices: DataFrame, meta: DataFrame, horizons: Sequence[int]
     there is such a column.
     """
     order = F.col("meta_order") if "meta_order" in meta.columns else F.col("delist_reason")
-    first = meta.groupBy("symbol").agg(F.min_by("delist_reason", order).alias("delist_reason"))
+    ranked = meta.withColumn("_rank", F.row_number().over(Window.partitionBy("symbol").orderBy(order.asc_nulls_last(), "delist_reason")))
+    first = ranked.filter("_rank = 1").select("symbol", "delist_reason")
     last = prices.groupBy("symbol").agg(F.max("time").alias("_last")).join(first, "symbol")
     days = F.timestamp_diff("DAY", F.col("time"), F.col("_last")).cast("int")
     out = prices.join(last, "symbol").withColumn("days_to_delist", days)
@@ -131,9 +132,10 @@ def symbol_index(df: DataFrame) -> DataFrame:
 
 
 def split_symbols(df: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """symbol -> split: seeded pseudo-random order, exact 80 / 10 / 10 counts."""
-    names = df.select("symbol").distinct().withColumn("_h", F.xxhash64("symbol", F.lit(seed)))
-    ranked = number_rows(names, key=(), order=["_h", "symbol"], chunk=F.shiftright("_h", 54))
+    """symbol -> split: seeded pseudo-random order (md5 of seed and symbol), exact 80 / 10 / 10 counts."""
+    seeded = F.md5(F.concat(F.lit(f"{seed}:").cast("binary"), F.coalesce("symbol", F.lit("")).cast("binary")))
+    names = df.select("symbol").distinct().withColumn("_h", seeded)
+    ranked = number_rows(names, key=(), order=["_h", "symbol"], chunk=F.substring("_h", 1, 3))
     n = names.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_train, n_val = F.floor(n * train), F.floor(n * val)
     part = F.when(F.col("_t") < n_train, "train").when(F.col("_t") < n_train + n_val, "val").otherwise("test")

@@ -19,7 +19,9 @@ TIERS = {
 }
 
 # Bounds of the tradable universe.
-UNIVERSE = {"min_market_cap": 1e9, "min_avg_volume": 500_000, "min_price": 5.0, "max_spread_pct": 0.5, "max_size": 500}
+UNIVERSE = {"min_market_cap": 1e9, "min_avg_volume": 500_000, "min_price": 5.0, "max_spread_pct": 0.5}
+# Fixed value: symbols that are screened at once.
+MAX_SIZE = 500
 
 
 def cap_tier(cap: Column) -> Column:
@@ -79,10 +81,10 @@ def in_tier(p: DataFrame, tier: str | None = None) -> DataFrame:
     return p.filter(F.col("tier").isNotNull() if tier in (None, "all") else F.col("tier") == tier)
 
 
-def tradable(u: DataFrame, limits: dict | None = None) -> DataFrame:
+def tradable(u: DataFrame, limits: dict | None = None, max_size: int | None = None) -> DataFrame:
     """The tradable universe: cap, volume, price and spread bounds, one exchange, no depositary receipts.
 
-    At most ``max_size`` symbols; which ones is our choice: by average volume, then symbol.
+    All of them, or with ``max_size`` so many by average volume, then symbol (which ones is our choice).
     """
     k = {**UNIVERSE, **(limits or {})}
     good = u.filter(
@@ -93,7 +95,7 @@ def tradable(u: DataFrame, limits: dict | None = None) -> DataFrame:
         & (F.col("exchange") == "NASDAQ")
         & ~F.col("is_adr")
     )
-    return good.orderBy(F.desc("avg_volume"), "symbol").limit(k["max_size"])
+    return good if max_size is None else good.orderBy(F.desc("avg_volume"), "symbol").limit(max_size)
 
 
 def active(df: DataFrame) -> DataFrame:

@@ -139,10 +139,10 @@ def universe_filter(spark, sf):
         F.when(F.col("s_suppkey") % 5 == 0, "NYSE").otherwise("NASDAQ").alias("exchange"),
         (F.col("s_suppkey") % 11 == 0).alias("is_adr"),
     )
-    return U.tradable(u).select("symbol", "market_cap", "avg_volume", "price")
+    return U.tradable(u, max_size=U.MAX_SIZE).select("symbol", "market_cap", "avg_volume", "price")
 
 
-DIVS = """dv AS (SELECT concat('C', o_custkey) AS symbol, o_orderdate AS time, o_totalprice / 100000 AS amount FROM orders WHERE o_orderstatus = 'F'),
+DIVS = """dv AS (SELECT concat('C', o_custkey) AS symbol, o_orderdate AS time, o_totalprice / 100000 AS amount FROM orders),
   px AS (SELECT concat('C', c_custkey) AS symbol, c_acctbal / 10 AS close FROM customer),
   lastd AS (SELECT symbol, max(time) AS l FROM dv GROUP BY 1),
   yr AS (SELECT symbol, sum(amount) AS year_sum FROM dv JOIN lastd USING (symbol) WHERE time > l - INTERVAL 1 YEAR GROUP BY 1),
@@ -151,7 +151,7 @@ DIVS = """dv AS (SELECT concat('C', o_custkey) AS symbol, o_orderdate AS time, o
 
 
 def _dividends(spark, sf):
-    o = V.table(spark, sf, "orders").filter("o_orderstatus = 'F'")
+    o = V.table(spark, sf, "orders")
     div = o.select(
         F.concat(F.lit("C"), "o_custkey").alias("symbol"),
         F.col("o_orderdate").alias("time"),

@@ -188,7 +188,11 @@ def samples_with_delisted(spark, sf):
     return per.groupBy("is_delisted").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_symbols"))
 
 
-@query()
+@query(
+    """WITH s AS (SELECT DISTINCT concat('C', o_custkey) AS symbol FROM orders),
+    r AS (SELECT symbol, row_number() OVER (ORDER BY md5(concat('42:', symbol)), symbol) - 1 AS t, count(*) OVER () AS n FROM s)
+    SELECT symbol, CASE WHEN t < floor(n * 0.8) THEN 'train' WHEN t < floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM r"""
+)
 def symbol_split(spark, sf):
     """Seeded 80/10/10 split of the symbols."""
     return S.split_symbols(_lifetimes(spark, sf)[0])

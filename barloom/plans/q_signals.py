@@ -22,7 +22,7 @@ FACTOR_SQL = f"""{V.WEEKLY}, {V.ARTICLES},
     volume / ({roll('avg', 'volume', 20)}) AS volume_ratio, {roll('avg', 'close', 20)} AS m, {roll('stddev_samp', 'close', 20)} AS s FROM bars),
   ns AS (SELECT symbol, avg(sentiment) AS news_sentiment FROM articles GROUP BY 1),
   fb AS (SELECT symbol, time, close, momentum_5, momentum_20, volume_ratio, (close - (m - 2 * s)) / (4 * s) AS bb_position, news_sentiment
-    FROM fa JOIN ns USING (symbol)),
+    FROM fa LEFT JOIN ns USING (symbol)),
   st AS (SELECT time, {", ".join(f"avg({f}) AS m_{f}, stddev_samp({f}) AS s_{f}" for f in FACTORS)} FROM fb GROUP BY 1),
   zz AS (SELECT symbol, time, close, {", ".join(f"CASE WHEN s_{f} > 0 THEN ({f} - m_{f}) / s_{f} WHEN {f} IS NOT NULL THEN 0 END AS z_{f}" for f in FACTORS)}
     FROM fb JOIN st USING (time)),
@@ -39,9 +39,9 @@ def factors(spark, sf):
     def build():
         t = T.add_technical(V.weekly_layer(spark, sf), ema=False)
         n = V.articles(spark, sf).groupBy("symbol").agg(F.avg("sentiment").alias("news_sentiment"))
-        return t.join(n, "symbol").select("symbol", "time", "close", "returns", "volatility_20", *FACTORS)
+        return t.join(n, "symbol", "left").select("symbol", "time", "close", "returns", "volatility_20", *FACTORS)
 
-    return layer(spark, f"factors {sf}", build)
+    return layer(spark, "factors", sf, build)
 
 
 @query(final(f"(WITH {FACTOR_SQL} SELECT symbol, time, {', '.join(f'z_{f}' for f in FACTORS)} FROM zz)", " ".join(f"z_{f}" for f in FACTORS)))
@@ -343,7 +343,7 @@ def stream_decode(spark, sf):
     items = MS.decode_items(_messages(spark, sf))
     ntz = F.col("time").cast("timestamp_ntz").alias("time")
     none = F.lit(None).cast("string").alias("conditions")
-    t = MS.trades(items).select("seq", F.lit("T").alias("kind"), "symbol", ntz, "ts_ns", "price", "size",
+    t = MS.trades(items, conditions=4).select("seq", F.lit("T").alias("kind"), "symbol", ntz, "ts_ns", "price", "size",
                                 F.array_join("conditions", ",").alias("conditions"), F.lit(None).cast("double").alias("ask"))
     q = MS.quotes(items).select("seq", F.lit("Q").alias("kind"), "symbol", ntz, "ts_ns", F.col("bid").alias("price"),
                                 F.col("bid_size").cast("long").alias("size"), none, "ask")

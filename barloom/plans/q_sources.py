@@ -92,7 +92,7 @@ def forum_articles(spark, sf):
     )
     listing = F.struct(F.struct(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 4).cast("int")), post).alias("children")).alias("data"))
     raw = d.select("doc_id", F.lit("stocks").alias("forum"), F.to_json(listing).alias("value"))
-    return LD.forum_articles(raw).select("doc_id", "title", "source", "published", "url", F.length("snippet").alias("snippet_chars"))
+    return LD.forum_articles(raw, snippet=500).select("doc_id", "title", "source", "published", "url", F.length("snippet").alias("snippet_chars"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, i, TIMESTAMP '2024-01-08' - to_hours(CAST((doc_id * 5 + i * 3) % 300 AS INTEGER)) AS published FROM documents, range(0, 25) r(i) WHERE i <= doc_id % 25)
@@ -113,7 +113,7 @@ def feed_articles(spark, sf):
 
     items = F.array_join(F.transform(F.sequence(F.lit(0), (k % 25).cast("int")), item), "")
     raw = d.select("doc_id", F.concat(F.lit("<rss><channel>"), items, F.lit("</channel></rss>")).alias("value"))
-    return LD.feed_articles(raw, _as_of())
+    return LD.feed_articles(raw, _as_of(), k=20, snippet=500)
 
 
 @query("""WITH h AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS li FROM pages),
@@ -124,7 +124,7 @@ def feed_articles(spark, sf):
 def page_links(spark, sf):
     """Links of news pages (the pages' navigation, marked as stream items)."""
     html = F.regexp_replace("html", r'<li><a href="([^"]*)">', r'<li class="x js-stream-item"><a href="$1">Note: ')
-    return LD.page_links(V.table(spark, sf, "pages").select("page_id", html.alias("html")), "https://news.example.com")
+    return LD.page_links(V.table(spark, sf, "pages").select("page_id", html.alias("html")), "https://news.example.com", k=15)
 
 
 @query(f"""WITH p AS (SELECT doc_id, i FROM documents, range(0, 23) r(i) WHERE i <= doc_id % 23)
@@ -144,7 +144,7 @@ def page_news_rows(spark, sf):
 
     rows = F.array_join(F.transform(F.sequence(F.lit(0), (k % 23).cast("int")), row), "")
     html = F.concat(F.lit('<p>x</p><table class="fullview-news-outer">'), rows, F.lit("</table>"))
-    return LD.page_news_rows(V.table(spark, sf, "documents").select("doc_id", html.alias("html")), _as_of())
+    return LD.page_news_rows(V.table(spark, sf, "documents").select("doc_id", html.alias("html")), _as_of(), k=20)
 
 
 # -- bar store -----------------------------------------------------------------------------------

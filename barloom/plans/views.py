@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.series import number_rows
 from barloom.operators.bars import bars_from_ticks
 from barloom.sources.stage import layer
 
-TICK_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+TICK_ORDER = ("tick",)
+
+
+def tick_number() -> Column:
+    """Ship date, order, line and part of an order line as one number: 6, 13, 2 and 13 digits."""
+    out = F.unix_date(F.to_date("l_shipdate")).cast("decimal(38,0)")
+    for name, digits in (("l_orderkey", 13), ("l_linenumber", 2), ("l_partkey", 13)):
+        out = (out * F.lit(10**digits).cast("decimal(14,0)") + F.col(name)).cast("decimal(38,0)")
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +36,8 @@ def line_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_regionkey"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").alias("size"),
-            *TICK_ORDER,
+            "l_shipdate",
+            tick_number().alias("tick"),
         )
     )
 
@@ -53,20 +62,20 @@ def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 # numbered within their symbol.
 
 
-def _numbered(spark: SparkSession, name: str, build) -> DataFrame:
-    return layer(spark, f"numbered {name}", lambda: number_rows(layer(spark, name, build)))
+def _numbered(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+    return layer(spark, f"numbered {name}", sf_dir, lambda: number_rows(layer(spark, name, sf_dir, build)))
 
 
 def weekly_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, f"weekly {sf_dir}", lambda: weekly_bars(spark, sf_dir))
+    return _numbered(spark, "weekly", sf_dir, lambda: weekly_bars(spark, sf_dir))
 
 
 def daily_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, f"daily {sf_dir}", lambda: daily_bars(spark, sf_dir))
+    return _numbered(spark, "daily", sf_dir, lambda: daily_bars(spark, sf_dir))
 
 
 def benchmark_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, f"benchmark {sf_dir}", lambda: benchmark_bars(spark, sf_dir))
+    return _numbered(spark, "benchmark", sf_dir, lambda: benchmark_bars(spark, sf_dir))
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +117,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(
             F.col("doc_id").alias("article_id"),
             F.col("n_name").alias("symbol"),
-            F.substring("text", 1, 80).alias("title"),
+            F.col("text").alias("title"),
             names[(F.col("doc_id") % 8).cast("int")].alias("source"),
             F.col("source").alias("url"),
             (
@@ -160,7 +169,7 @@ QUOTES = """quotes AS (
          size AS bid_size, size AS ask_size FROM ticks)"""
 
 ARTICLES = """articles AS (
-  SELECT d.doc_id AS article_id, n_name AS symbol, substr(d.text, 1, 80) AS title,
+  SELECT d.doc_id AS article_id, n_name AS symbol, d.text AS title,
          ['reuters', 'bloomberg', 'wsj', 'cnbc', 'benzinga', 'seekingalpha', 'motleyfool', 'unknown'][1 + d.doc_id % 8] AS source,
          d.source AS url,
          TIMESTAMP '2024-01-01' + to_minutes(d.doc_id * 10) AS published,

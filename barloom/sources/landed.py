@@ -55,8 +55,16 @@ FORUM = (
 )
 
 
-def forum_articles(raw: DataFrame, text: str = "value", min_score: int = 10) -> DataFrame:
-    """Forum listings (JSON text, forum) to articles: score at least 10, snippet at most 500 characters."""
+def _head(text: Column, n: int | None) -> Column:
+    return text if n is None else F.substring(text, 1, n)
+
+
+def _first(items: Column, n: int | None) -> Column:
+    return items if n is None else F.slice(items, 1, n)
+
+
+def forum_articles(raw: DataFrame, text: str = "value", min_score: int = 10, snippet: int | None = None) -> DataFrame:
+    """Forum listings (JSON text, forum) to articles: score at least 10; ``snippet``: characters kept of the text, None all."""
     posts = raw.withColumn("_p", F.explode(F.from_json(text, FORUM)["data"]["children"])).withColumn("_p", F.col("_p.data"))
     rest = [c for c in raw.columns if c != text]
     return posts.filter(F.coalesce(F.col("_p.score"), F.lit(0)) >= min_score).select(
@@ -65,21 +73,21 @@ def forum_articles(raw: DataFrame, text: str = "value", min_score: int = 10) ->
         F.concat(F.lit("reddit_"), "forum").alias("source"),
         F.timestamp_seconds(F.coalesce(F.col("_p.created_utc"), F.lit(0.0))).cast("timestamp_ntz").alias("published"),
         F.concat(F.lit("https://reddit.com"), F.coalesce(F.col("_p.permalink"), F.lit(""))).alias("url"),
-        F.substring(F.coalesce(F.col("_p.selftext"), F.lit("")), 1, 500).alias("snippet"),
+        _head(F.coalesce(F.col("_p.selftext"), F.lit("")), snippet).alias("snippet"),
     )
 
 
 RSS = "channel struct<item: array<struct<title: string, link: string, pubDate: string, description: string>>>"
 
 
-def feed_articles(raw: DataFrame, as_of: Column, text: str = "value", days_back: int = 7, k: int = 20) -> DataFrame:
+def feed_articles(raw: DataFrame, as_of: Column, text: str = "value", days_back: int = 7, k: int | None = None, snippet: int | None = None) -> DataFrame:
     """RSS feeds (XML text, one per query) to articles.
 
-    The first 20 entries of a feed; entries without a readable date or older than ``days_back`` are dropped;
-    the snippet is the description without tags, at most 500 characters.
+    All entries of a feed, or the first ``k``; entries without a readable date or older than ``days_back`` are dropped;
+    the snippet is the description without tags, or its first ``snippet`` characters.
     """
     rest = [c for c in raw.columns if c != text]
-    items = F.slice(F.from_xml(text, RSS)["channel"]["item"], 1, k)
+    items = _first(F.from_xml(text, RSS)["channel"]["item"], k)
     e = raw.select(*rest, F.posexplode(items).alias("position", "e"))
     # "Mon, 01 Jan 2024 00:10:00 GMT": the weekday and the zone are fixed parts
     stamp = F.regexp_extract(F.col("e.pubDate"), r"(\d{1,2} \w{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
@@ -90,7 +98,7 @@ def feed_articles(raw: DataFrame, as_of: Column, text: str = "value", days_back:
         F.lit("google_news").alias("source"),
         F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss")).cast("timestamp_ntz").alias("published"),
         F.col("e.link").alias("url"),
-        F.substring(F.regexp_replace(F.coalesce("e.description", F.lit("")), "<[^>]+>", ""), 1, 500).alias("snippet"),
+        _head(F.regexp_replace(F.coalesce("e.description", F.lit("")), "<[^>]+>", ""), snippet).alias("snippet"),
     )
     return out.filter(F.col("published") >= as_of - F.make_dt_interval(days=F.lit(days_back)))
 
@@ -201,10 +209,10 @@ def _table_rows(html: pd.Series) -> pd.Series:
     return html.map(rows)
 
 
-def page_links(pages: DataFrame, site: str, html: str = "html", k: int = 15, min_title: int = 10) -> DataFrame:
-    """News pages to links: the first 15 stream items, titles of at least 10 characters, absolute URLs."""
+def page_links(pages: DataFrame, site: str, html: str = "html", k: int | None = None, min_title: int = 10) -> DataFrame:
+    """News pages to links: all stream items or the first ``k``, titles of at least 10 characters, absolute URLs."""
     rest = [c for c in pages.columns if c != html]
-    links = F.slice(_item_links(F.col(html)), 1, k)
+    links = _first(_item_links(F.col(html)), k)
     out = pages.select(*rest, F.posexplode(links).alias("position", "l"))
     out = out.filter(F.col("l.href").isNotNull() & (F.length("l.title") >= min_title))
     href = F.col("l.href")
@@ -212,10 +220,10 @@ def page_links(pages: DataFrame, site: str, html: str = "html", k: int = 15, min
     return out.select(*rest, "position", F.col("l.title").alias("title"), url.alias("url"))
 
 
-def page_news_rows(pages: DataFrame, as_of: Column, html: str = "html", k: int = 20) -> DataFrame:
-    """News tables to articles: the first 20 rows; Today, Yesterday or a date like Dec-28-24, else now."""
+def page_news_rows(pages: DataFrame, as_of: Column, html: str = "html", k: int | None = None) -> DataFrame:
+    """News tables to articles: all rows or the first ``k``; Today, Yesterday or a date like Dec-28-24, else now."""
     rest = [c for c in pages.columns if c != html]
-    rows = F.slice(_table_rows(F.col(html)), 1, k)
+    rows = _first(_table_rows(F.col(html)), k)
     out = pages.select(*rest, F.posexplode(rows).alias("position", "r")).filter(F.col("r.href").isNotNull())
     when = F.col("r.moment")
     day = F.try_to_timestamp(F.element_at(F.split(F.trim(when), r"\s+"), 1), F.lit("MMM-dd-yy")).cast("timestamp_ntz")

@@ -47,13 +47,13 @@ def _rest(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c != "m"]
 
 
-def trades(items: DataFrame) -> DataFrame:
-    """symbol, time, ts_ns, price, size, exchange code, at most four conditions."""
+def trades(items: DataFrame, conditions: int | None = None) -> DataFrame:
+    """symbol, time, ts_ns, price, size, exchange code and conditions (all, or the first so many)."""
     df = _parsed(items, ["T"], TICK)
     m = lambda n: F.col(f"m.{n}")
     return df.select(
         *_rest(df), m("sym").alias("symbol"), ns_to_timestamp(m("t")).alias("time"), m("t").alias("ts_ns"),
-        m("p").alias("price"), m("s").alias("size"), m("x").alias("exchange"), F.slice(m("c"), 1, 4).alias("conditions"),
+        m("p").alias("price"), m("s").alias("size"), m("x").alias("exchange"), (m("c") if conditions is None else F.slice(m("c"), 1, conditions)).alias("conditions"),
     )
 
 

@@ -9,15 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.expr import ratio
 from barloom.functions.series import Series
+from barloom.operators.bars import order_key
 from barloom.operators.latest import last_n
 from barloom.sources import messages
+from barloom.sources.stage import exists
 
 # Refresh cadences of the screening steps.
 CADENCES = {"factors": "1 minute", "rankings": "5 minutes", "sentiment": "15 minutes", "universe": "1 day"}
@@ -55,21 +56,29 @@ def _start(writer, checkpoint: str, every: str | None):
 def newest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The newest revision of every key."""
     df = spark.read.option("basePath", path).parquet(path)
-    rest = [c for c in df.columns if c not in (*keys, "_batch")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
+    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
+    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "_batch")
 
 
 # -- bars ----------------------------------------------------------------------------------------
 
 
-def bars(ticks: DataFrame, size: str = "1 hour", late: str = REFRESH["late"], order: Sequence[str] = ("time", "seq")) -> DataFrame:
-    """Tick stream to bars. A tick up to ``late`` behind revises its bar, an older one is dropped."""
-    at = F.struct(*order)
+def _watermarked(df: DataFrame, late: str | None) -> DataFrame:
+    out = event_time(df)
+    return out if late is None else out.withWatermark("time", late)
+
+
+def bars(ticks: DataFrame, size: str = "1 hour", late: str | None = None, order: Sequence[str] = ("time", "seq")) -> DataFrame:
+    """Tick stream to bars. Every tick revises its bar, however late; the state is one row per bar.
+
+    With ``late`` (REFRESH has the usual bound) older state is dropped, and so are ticks further behind than that: then
+    the result depends on how the ticks are cut into micro-batches.
+    """
+    ticks = _watermarked(ticks, late)
+    at = order_key(ticks, order)
     value = F.col("price") * F.col("size")
     return (
-        event_time(ticks)
-        .withWatermark("time", late)
-        .groupBy("symbol", F.window("time", size).alias("w"))
+        ticks.groupBy("symbol", F.window("time", size).alias("w"))
         .agg(
             F.min_by("price", at).alias("open"),
             F.max("price").alias("high"),
@@ -87,11 +96,10 @@ def bars(ticks: DataFrame, size: str = "1 hour", late: str = REFRESH["late"], or
     )
 
 
-def coarser_bars(small: DataFrame, size: str = "1 hour", late: str = REFRESH["late"]) -> DataFrame:
-    """Continuous roll-up of small bars into larger ones."""
+def coarser_bars(small: DataFrame, size: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Continuous roll-up of small bars into larger ones; ``late`` as for ``bars``."""
     return (
-        event_time(small)
-        .withWatermark("time", late)
+        _watermarked(small, late)
         .groupBy("symbol", F.window("time", size).alias("w"))
         .agg(
             F.min_by("open", "time").alias("open"),
@@ -123,9 +131,8 @@ def sliding_factors(ticks: DataFrame, span: str = CADENCES["rankings"], slide: s
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
     """Newest quote of every symbol as a running aggregate (partial maxima before the shuffle)."""
-    return quotes.groupBy("symbol").agg(
-        F.max_by(F.struct("time", "seq", "bid", "ask"), F.struct("time", "seq")).alias("q")
-    ).select("symbol", "q.*")
+    at = order_key(quotes, ("time", "seq"))
+    return quotes.groupBy("symbol").agg(*(F.max_by(c, at).alias(c) for c in ("time", "seq", "bid", "ask")))
 
 
 # -- kept rows per symbol --------------------------------------------------------------------------
@@ -136,10 +143,9 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
 
 def _kept(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
     """The rows kept by the newest micro-batch before this one."""
-    try:
-        df = spark.read.schema(f"{_ddl(empty)}, _batch bigint").option("basePath", path).parquet(path)
-    except AnalysisException:
+    if not exists(spark, path):
         return empty.limit(0)
+    df = spark.read.schema(f"{_ddl(empty)}, _batch bigint").option("basePath", path).parquet(path)
     before = df.filter(F.col("_batch") < batch_id)
     last = before.agg(F.max("_batch").alias("b")).scalar()
     return before.filter(F.col("_batch") == last).drop("_batch")
@@ -155,7 +161,8 @@ def score_histories(
 ):
     """Score every new bar (symbol, time, seq, columns) against the symbol's last ``keep`` bars up to it.
 
-    A late bar takes its place in time; one older than all kept bars of a full history is ignored.
+    A late bar takes its place in time; one older than all kept bars of a full history cannot be scored and goes to
+    ``out``/late.
     Writes symbol, time, seq, n_bars, ready, score (null before ``ready`` bars are there) below ``out``,
     and the kept bars of every symbol as its state.
     """
@@ -176,7 +183,9 @@ def score_histories(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("time", "seq")).alias("_oldest")
         )
         late = (F.col("_n") >= keep) & (F.struct("time", "seq") < F.col("_oldest"))
-        new = new.join(edge, "symbol", "left").filter(~F.coalesce(late, F.lit(False))).drop("_n", "_oldest")
+        dated = new.join(edge, "symbol", "left").withColumn("_late", F.coalesce(late, F.lit(False))).drop("_n", "_oldest")
+        dated.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{out}/late/_batch={batch_id}")
+        new = dated.filter("NOT _late").drop("_late")
         both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
         s = Series.of(both, behind=keep, order=("time", "seq"), chunk="day")
         s = s.with_columns(_h=F.collect_list(F.struct(*names)).over(s.rows(keep)))

@@ -150,8 +150,10 @@ def test_beta(spark, bars):
 def test_column_checks_and_padding(spark):
     df = spark.createDataFrame([(1.0, 2.0, None)], "Open double, high double, low double")
     assert families.missing_columns(df) == ["close", "volume"]
-    r = df.select(families.padded(["high"], 3).alias("p"), families.padded(["Open", "high", "low"], 2).alias("cut")).first()
-    assert r.p == [2.0, 0.0, 0.0] and r.cut == [1.0, 2.0]
+    r = df.select(families.padded(["high"], 3).alias("p"), families.padded(["Open", "high"], 2).alias("whole")).first()
+    assert r.p == [2.0, 0.0, 0.0] and r.whole == [1.0, 2.0]
+    with pytest.raises(ValueError):
+        families.padded(["Open", "high", "low"], 2)
     assert families.present(df, ["low", "nothing"]) == ["low"]
     odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (None,), (0.5,)], "x double")
     from barloom.functions.expr import clip, finite

@@ -88,7 +88,7 @@ def test_message_edges(spark):
     ]
     items = MS.decode_items(spark.createDataFrame([(r,) for r in rows], "value string"))
     assert sorted(r.ev for r in items.collect()) == ["A", "AM", "Q", "T", "T", "status"]
-    t = MS.trades(items).filter("symbol = 'A'").first()
+    t = MS.trades(items, conditions=4).filter("symbol = 'A'").first()
     assert t.ts_ns == 1704067200123456789 and t.conditions == [1, 2, 3, 4] and t.time.microsecond == 123456
     q = MS.quotes(items).first()
     assert (q.bid, q.ask, q.bid_size, q.ask_size) == (1.0, 2.0, 3, 4)
@@ -125,5 +125,5 @@ def test_page_edges(spark):
         f'<tr><td>Jan-0{1 + i % 9}-24 08:00AM</td><td><a href="/{i}">t{i}</a></td></tr>' for i in range(25)
     )
     now = F.lit("2024-02-01").cast("timestamp_ntz")
-    rows = LD.page_news_rows(spark.createDataFrame([(1, table)], "id int, html string"), now).collect()
+    rows = LD.page_news_rows(spark.createDataFrame([(1, table)], "id int, html string"), now, k=20).collect()
     assert len(rows) == 20 and rows[0].published == datetime(2024, 1, 1) and rows[0].title == "t0"

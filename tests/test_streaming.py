@@ -33,11 +33,23 @@ def tick(minutes, seq, price, symbol="A", size=10):
     return (symbol, START + timedelta(minutes=minutes), seq, float(price), size)
 
 
+def test_bars_do_not_depend_on_the_cut_into_batches(spark, where):
+    folder, out, checkpoint = where
+    ticks = [tick(i, i, 100 + i % 7) for i in (600, 5, 300, 1, 900)]
+    for i, t in enumerate(ticks):
+        land(spark, folder, str(i), [t])
+        J.revisions(J.bars(source(spark, folder)), out, checkpoint)
+    got = J.newest(spark, out, ["symbol", "time"]).toPandas().sort_values("time").reset_index(drop=True)
+    want = bars_from_ticks(spark.createDataFrame(ticks, SCHEMA), "1h").toPandas().sort_values("time").reset_index(drop=True)
+    cols = ["symbol", "time", "open", "high", "low", "close", "volume", "trade_count"]
+    pd.testing.assert_frame_equal(got[cols], want[cols], check_dtype=False)
+
+
 def test_bars_over_batches_with_late_rows(spark, where):
     folder, out, checkpoint = where
     first = [tick(i, i, 100 + i % 7) for i in range(0, 600, 3)]
     land(spark, folder, "1", first)
-    stream = lambda: J.bars(source(spark, folder))
+    stream = lambda: J.bars(source(spark, folder), late=J.REFRESH["late"])
     J.revisions(stream(), out, checkpoint)
     near, far = tick(560, 9001, 500), tick(5, 9002, 999)
     land(spark, folder, "2", [near, far, tick(650, 9003, 101)])
