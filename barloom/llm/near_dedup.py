@@ -31,7 +31,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 SLACK = 5.0
 #: Nodes of a block where buckets are compared within themselves.
 BLOCK = 512
-#: Longs that may be broadcast: 8 MB.
+#: Rows of two or three longs that may be broadcast: 24 MB.
 BROADCAST_ROWS = 1 << 20
 #: Hashes looked at at once; they stay in a core's cache.
 CHUNK = 1 << 16
@@ -327,10 +327,14 @@ def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     drawn = stage(sketches(docs, size), "near-sketches")
     full = drawn.filter("node IS NOT NULL")
     nodes = stage(full.dropDuplicates(["node"]).select("node", "n", "text_hash", "registers"), "near-nodes")
-    bands = stage(band_keys(nodes), "near-bands")
+    bands = band_keys(nodes)  # cheaper to draw twice than to keep
     shared = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    shared = stage(shared, "near-shared")
     total = nodes.count() * BANDS
-    buckets = left_join_hot(bands, shared, "bucket", "k", total, F.xxhash64("node")).filter("hub IS NOT NULL")
+    if shared.count() <= BROADCAST_ROWS:
+        buckets = bands.join(F.broadcast(shared), "bucket")
+    else:
+        buckets = left_join_hot(bands, shared, "bucket", "k", total, F.xxhash64("node")).filter("hub IS NOT NULL")
     buckets = stage(buckets.select("bucket", "node", "hub"), "near-buckets")
     stars = buckets.filter("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     stars = stage(_pairs_with_registers(stars, nodes, percent), "near-stars")

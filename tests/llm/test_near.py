@@ -42,6 +42,13 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(((key(r.doc_id), r.text) for r in got.collect()), key=str) == sorted([*left, *want], key=str)
 
 
+def test_large_tables_are_shuffled(spark, monkeypatch):
+    rows = awkward() + list(edited(40))
+    want = sorted(map(str, near_dedup.near_duplicates(frame(spark, rows)).collect()))
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, near_dedup.near_duplicates(frame(spark, rows)).collect())) == want
+
+
 def test_empty(spark):
     assert near_dedup.near_duplicates(frame(spark, [])).count() == 0
     assert near_dedup.clean(frame(spark, [])).count() == 0
