@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, phrase_dedup, quality, suffix_dedup, tokens, warc
+from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, oracles, phrase_dedup, quality, suffix_dedup, tokens, warc
 from barloom.llm.common import table
 from barloom.sources.stage import stage_root
 
@@ -68,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op7_decontamination, op8_mixing, op9_line_dedup, op10_license_scan)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
+    "op1_suffix_dedup": oracles.BYTES,
+    "op3_phrase_dedup": oracles.WORDS,
+    "op4_near_dedup": oracles.NEAR,
+    "op9_line_dedup": oracles.LINES,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_license_scan": licenses.oracle(),
     "op2_warc": """
