@@ -43,6 +43,14 @@ def missing_columns(df: DataFrame, required: Sequence[str] = ("open", "high", "l
     return [c for c in required if c not in have]
 
 
+def status_rows(df: DataFrame, required: Sequence[str] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """One row per symbol: status ok, or error with the columns that the frame lacks as the reason."""
+    lacking = missing_columns(df, required)
+    reason = F.lit(f"missing columns: {', '.join(lacking)}" if lacking else None).cast("string")
+    status = F.lit("error" if lacking else "ok")
+    return df.select("symbol").distinct().select("symbol", status.alias("status"), reason.alias("reason"))
+
+
 def padded(columns: Sequence[str], width: int) -> Column:
     """The columns as an array of exactly ``width`` doubles, zeros appended. More columns than that are an error."""
     if len(columns) > width:

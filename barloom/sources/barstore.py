@@ -21,8 +21,13 @@ def write_bars(bars: DataFrame, path: str, *, by: Sequence[str] = (), mode: str
 
 def read_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """Parquet bars, also as pandas writes them (nanosecond times, which Spark reads as numbers)."""
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
-    return spark.read.option("recursiveFileLookup", str(recursive).lower()).parquet(path)
+    option = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(option)
+    spark.conf.set(option, "true")  # only while the schema is read
+    try:
+        return spark.read.option("recursiveFileLookup", str(recursive).lower()).parquet(path)
+    finally:
+        spark.conf.set(option, before)
 
 
 def load_bars(spark: SparkSession, path: str, symbols: Sequence[str] | None = None, tier: str | None = None) -> DataFrame:
