@@ -58,7 +58,7 @@ def test_large_benchmarks_are_shuffled(spark, sf, monkeypatch):
     assert sorted(map(tuple, queries.op7_decontamination(spark, sf).collect())) == want
 
 
-@pytest.mark.parametrize("name", ["op7_decontamination", "op10_license_scan"])
+@pytest.mark.parametrize("name", ["op1_suffix_dedup", "op3_phrase_dedup", "op4_near_dedup", "op7_decontamination", "op9_line_dedup", "op10_license_scan"])
 def test_against_sql(spark, sf, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
