@@ -127,7 +127,9 @@ def stock_age_months(n_rows: Column) -> Column:
 def symbol_index(df: DataFrame) -> DataFrame:
     """symbol -> dense 0-based index in alphabetical order."""
     names = df.select("symbol").distinct()
-    numbered = number_rows(names, key=(), order=["symbol"], chunk=F.substring("symbol", 1, 3))
+    # chunks are ranges of about equal size, written so that they stay as they are
+    ranged = names.repartitionByRange("symbol").withColumn("_part", F.spark_partition_id())
+    numbered = number_rows(ranged, key=(), order=["symbol"], chunk=F.col("_part"), staged=True)
     return numbered.select("symbol", F.col("_t").cast("int").alias("stock_idx"))
 
 
@@ -145,7 +147,7 @@ def split_symbols(df: DataFrame, train: float = 0.8, val: float = 0.1, seed: int
 def split_time(df: DataFrame, train: float = 0.8) -> DataFrame:
     """Add ``split``: rows before the time at the given share of all distinct times are 'train'."""
     times = df.select("time").distinct()
-    ranked = number_rows(times, key=(), chunk="year")
+    ranked = number_rows(times, key=(), chunk="day")
     n = times.agg(F.count(F.lit(1)).alias("n")).scalar()
     cut = ranked.filter(F.col("_t") >= F.floor(n * train)).agg(F.min("time").alias("cut")).scalar()
     return df.withColumn("split", F.when(F.col("time") < cut, "train").otherwise("val"))
