@@ -127,3 +127,25 @@ def test_page_edges(spark):
     now = F.lit("2024-02-01").cast("timestamp_ntz")
     rows = LD.page_news_rows(spark.createDataFrame([(1, table)], "id int, html string"), now, k=20).collect()
     assert len(rows) == 20 and rows[0].published == datetime(2024, 1, 1) and rows[0].title == "t0"
+
+
+def test_layers_follow_their_files(spark, tmp_path):
+    from barloom.sources.stage import exists, layer
+
+    folder = str(tmp_path / "in")
+    build = lambda: spark.read.parquet(folder).withColumn("twice", F.col("id") * 2)
+    spark.range(5).write.parquet(folder)
+    assert layer(spark, "twice", folder, build).count() == 5
+    first = layer(spark, "twice", folder, build).inputFiles()
+    assert layer(spark, "twice", folder, build).inputFiles() == first
+    spark.range(7).write.mode("append").parquet(folder)
+    assert layer(spark, "twice", folder, build).count() == 12
+    assert exists(spark, folder) and not exists(spark, folder + "-not")
+
+
+def test_reading_files_leaves_the_session_as_it_is(spark, tmp_path):
+    option = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(option)
+    spark.range(1).write.parquet(str(tmp_path / "x"))
+    BS.read_files(spark, str(tmp_path / "x")).count()
+    assert spark.conf.get(option) == before
