@@ -30,7 +30,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Standard deviations of the estimate below the threshold from which on a pair is not confirmed.
 SLACK = 5.0
 #: Nodes of a block where buckets are compared within themselves.
-BLOCK = 512
+BLOCK = 2048
 #: Rows of two or three longs that may be broadcast: 24 MB.
 BROADCAST_ROWS = 1 << 20
 #: Hashes looked at at once; they stay in a core's cache.
