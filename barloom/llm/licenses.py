@@ -42,12 +42,9 @@ def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9]+(?:\.[0-9]+)*"), F.lit(0))
 
 
-def _vectors(passages: DataFrame, key: str, idf: DataFrame | None = None) -> DataFrame:
-    tf = passages.select(key, F.explode(_terms(F.col("passage"))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if idf is None:
-        return tf
-    weighed = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    return weighed
+def _counts(passages: DataFrame, key: str) -> DataFrame:
+    terms = passages.select(key, F.explode(_terms(F.col("passage"))).alias("term"))
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
@@ -69,8 +66,8 @@ def match(passages: DataFrame, templates: DataFrame, least: float = LEAST) -> Da
     in a passage's length, not in the product. A frequent passage is one row here, however many files have it.
     """
     one = passages.select("passage").distinct().withColumn("id", F.xxhash64("passage"))
-    tf = stage(_vectors(one, "id"), "license-terms")
-    tt = stage(_vectors(templates, "template"), "license-templates")
+    tf = stage(_counts(one, "id"), "license-terms")
+    tt = stage(_counts(templates, "template"), "license-templates")
     both = tf.select("term").unionByName(tt.select("term"))
     total = tf.select("id").distinct().count() + tt.select("template").distinct().count()
     idf = both.groupBy("term").agg((F.log((F.lit(float(total)) + 1) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
