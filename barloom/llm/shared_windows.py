@@ -42,8 +42,9 @@ STEP = 1 << 20
 class Scheme:
     width: int
     seed: int
-    #: texts -> all atoms, and where each text's begin (one more entry than texts)
-    atoms: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    #: texts -> all atoms, and where each text's begin (one more entry than texts); rows of atoms beyond the texts' own
+    #: may follow, then with the text of each row as a third array
+    atoms: Callable[[list[bytes]], tuple[np.ndarray, ...]]
     #: (atoms of the segments, their offsets, their smallest ids) -> for every window whether a smaller id has it
     older: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -141,9 +142,10 @@ class Block:
 
     def cut(self) -> None:
         s = self.scheme
-        self.atoms, self.offsets = s.atoms(self.texts)
+        self.atoms, self.offsets, *owner = s.atoms(self.texts)
         self.start, self.count, self.seed = segments(self.atoms, self.offsets, s.width, s.seed)
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
+        self.row_ids = self.ids[owner[0]] if owner else self.ids
         self.seeds, self.seed_at = np.unique(self.seed, return_inverse=True)
 
     def bounds(self, n: int) -> np.ndarray:
@@ -155,8 +157,8 @@ def _name_seeds(n: int, scheme: Scheme):
         b = Block(rows, scheme)
         b.cut()
         low, high = np.full(len(b.seeds), NO_ID), np.full(len(b.seeds), np.iinfo(np.int64).min)
-        np.minimum.at(low, b.seed_at, b.ids[b.row])
-        np.maximum.at(high, b.seed_at, b.ids[b.row])
+        np.minimum.at(low, b.seed_at, b.row_ids[b.row])
+        np.maximum.at(high, b.seed_at, b.row_ids[b.row])
         several, edge = low != high, b.bounds(n)
         out = {"part": [], "block": [], "seeds": [], "several": []}
         for p in np.flatnonzero(np.diff(edge)):
@@ -215,7 +217,7 @@ def _send_segments(n: int, scheme: Scheme):
             kept = ragged(text, offsets_of(length)[:-1][one], length[one])
             out["part"].append(int(p))
             out["block"].append(key[0].as_py())
-            out["blob"].append(pack(kept, length[one].astype(np.uint32), of.astype(np.uint32), b.ids[b.row[i]], b.row[i].astype(np.uint32), place))
+            out["blob"].append(pack(kept, length[one].astype(np.uint32), of.astype(np.uint32), b.row_ids[b.row[i]], b.row[i].astype(np.uint32), place))
         return pa.table(out, schema=schema)
 
     return run

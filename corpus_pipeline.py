@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are deleted; documents of which nothing is left go."""
+    """Later repeats of runs of 3 lines or 13 words are deleted; documents of which nothing is left go."""
     return line_dedup.clean(docs)
 
 

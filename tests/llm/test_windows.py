@@ -125,6 +125,41 @@ def test_clean_keeps_columns_and_drops_emptied_documents(spark):
     assert all(r.n_chars == len(r.text) and r.kept == "k" for r in found)
 
 
+def brute_passages(rows, words):
+    """Lines in runs of 3 lines, or of fewer lines with ``words`` words, that stand in a smaller id or before in the document."""
+    solid = [(key(d), [x for x in (t or "").encode().split(b"\n") if x.strip()]) for d, t in rows]
+    runs = lambda s: [(i, n) for n in (1, 2, 3) for i in range(len(s) - n + 1) if n == 3 or sum(len(x.split()) for x in s[i : i + n]) >= words]
+    least = {}
+    for d, s in solid:
+        for i, n in runs(s):
+            k = tuple(s[i : i + n])
+            least[k] = min(least.get(k, d), d)
+    for (_, t), (d, s) in zip(rows, solid, strict=True):
+        gone, seen = set(), set()
+        for i, n in runs(s):
+            k = tuple(s[i : i + n])
+            if least[k] < d or k in seen:
+                gone.update(range(i, i + n))
+            seen.add(k)
+        left = iter(range(len(s)))
+        yield d, len(s), len(gone), b"\n".join(x for x in (t or "").encode().split(b"\n") if not (x.strip() and next(left) in gone)).decode()
+
+
+def test_short_runs_of_many_words_go_too(spark, sf):
+    line = " ".join(f"w{i}" for i in range(60))
+    two = " ".join("abcdefg") + "\n\n" + " ".join("hijklmn")
+    texts = [line, "own start\n" + line + "\nown end", line + "\nx\n" + line, "before\n" + two, two + "\nafter", "short\nlines", "short\nlines", line[:30]]
+    rows = all_rows(spark, sf) + [(9000 + i, t, "en", "s", len(t), "k", 1, 2, 3) for i, t in enumerate(texts)]
+    pairs = [(r[0], r[1]) for r in rows]
+    got = line_dedup.remove_lines(frame(spark, rows), words=13).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    want = sorted(brute_passages(pairs, 13))
+    assert sorted((key(r[0]), *r[1:]) for r in got) == want
+    kept = {d: k for d, _, _, k in want}
+    assert [kept[9000 + i] for i in range(8)] == [line, "own start\nown end", "x", "before\n" + two, "\nafter", "short\nlines", "short\nlines", line[:30]]
+    cleaned = {key(r.doc_id): r.text for r in line_dedup.clean(frame(spark, rows)).collect()}
+    assert cleaned[9001] == "own start\nown end" and cleaned[9006] == "short\nlines"
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffix_dedup.remove_repeats(none).count() == 0
