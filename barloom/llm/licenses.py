@@ -29,6 +29,23 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+_WARRANTY = "in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+_FREE = "you can redistribute it and/or modify it under the terms of the GNU {0} General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is distributed " + _WARRANTY + " See the GNU {0} General Public License for more details. You should have received a copy of the GNU {0} General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+_ASIS = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Texts of many lines: file headers, and the licences short enough to be a file of their own.
+HEADERS = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", _BSD + _ASIS),
+    ("BSD-3-Clause", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission." + _ASIS),
+    ("GPL-2.0-or-later", "This program is free software; " + _FREE.format("", "2")),
+    ("GPL-3.0-or-later", "This program is free software: " + _FREE.format("", "3")),
+    ("LGPL-3.0-or-later", "This library is free software: " + _FREE.format("Lesser", "3")),
+    ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+]
+#: A licence by its identifier: SPDX-License-Identifier: MIT.
+SPDX = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.+-]*)"
 #: A line with one of these is a statement.
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|public domain"
 #: File names that make a licence file.
@@ -84,6 +101,26 @@ def match(passages: DataFrame, templates: DataFrame, least: float = LEAST) -> Da
     return one.join(best, "id").select("passage", F.col("b.license").alias("license"), (-F.col("b.m")).alias("cosine"))
 
 
+def blocks(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """path, passage: paragraphs of several lines with a cue, and whole texts with a cue that are not much longer than a licence."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    some = F.filter(F.split(whole, r"\n[ \t\r]*\n"), lambda x: x.rlike(CUE) & x.contains("\n"))
+    full = F.when(F.col(path).rlike(NAMED) | (n_words(whole) <= 2 * max(len(t.split()) for _, t in HEADERS)), F.array(whole)).otherwise(F.array().cast("array<string>"))
+    return files.filter(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), F.explode(F.array_distinct(F.concat(some, full))).alias("passage"))
+
+
+def long_forms(files: DataFrame, least: float) -> DataFrame:
+    """path, license, cosine, said of files with an SPDX identifier (cosine 1) or a block like one of HEADERS."""
+    found = stage(blocks(files), "license-blocks")
+    rated = match(found, template_rows(files.sparkSession, HEADERS), least)
+    counts = found.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).join(rated, "passage")
+    like = left_join_hot(found, counts, "passage", "n", found.count(), F.xxhash64("path")).filter(F.col("license").isNotNull())
+    like = like.select("path", "license", "cosine", n_words(F.col("passage")).alias("said"))
+    named = files.filter(F.col("text").rlike(SPDX)).select("path", F.regexp_extract("text", SPDX, 1).alias("license"), F.lit(1.0).alias("cosine"), F.lit(2).alias("said"))
+    every = like.unionByName(named).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "license")).alias("b"), F.max("said").alias("said"))
+    return every.select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("cosine"), "said")
+
+
 def ancestors(path: Column) -> Column:
     """All directories of a path, nearest first: /a/b/c -> /a/b, /a, /."""
     parts = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
@@ -106,7 +143,9 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     hits = left_join_hot(said, counts, "passage", "n", said.count(), F.xxhash64("path")).filter(F.col("license").isNotNull())
     words = n_words(F.col("passage"))
     per_file = hits.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "license")).alias("b"), F.sum(words).alias("said"))
-    own = stage(per_file.select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("cosine"), "said"), "license-own")
+    short = stage(per_file.select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("cosine"), "said"), "license-short")
+    # files without a notice of one line: identifiers, headers and licence texts
+    own = stage(short.unionByName(long_forms(rows, least).join(short.select("path"), "path", "left_anti")), "license-own")
     sizes = rows.select("path", n_words(F.col("text")).alias("n_words"), F.element_at(ancestors(F.col("path")), 1).alias("dir"))
     judged = stage(sizes.join(own, "path", "left"), "license-files")
     declares = F.col("own_license").isNotNull() & (F.col("path").rlike(NAMED) | (F.col("said") >= SHARE * F.col("n_words")))

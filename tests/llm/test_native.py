@@ -159,5 +159,33 @@ def test_license_inheritance(spark):
     assert none.count() == 0
 
 
+def test_headers_and_identifiers_of_many_lines(spark):
+    code = "\n\nint main() { return 0; }\n\n" + "some words of a program " * 300
+    gpl = """/* frob.c - frobnicates
+ * Copyright (C) 2019 A. Person
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */"""
+    mit = dict(licenses.HEADERS)["MIT"].replace("Copyright (c)", "\n\nCopyright (c) 2020 A. Person\n\n").replace("conditions:", "conditions:\n\n")
+    rows = [("/g/frob.c", gpl + code), ("/s/a.py", "# SPDX-License-Identifier: Apache-2.0" + code), ("/s/b.py", "// spdx-license-identifier: GPL-3.0-or-later" + code), ("/m/LICENSE", mit), ("/m/x.py", code), ("/n/y.py", "# Copyright 2020 A. Person" + code)]
+    got = {(r.path, r.own_license, r.license) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        ("/g/frob.c", "GPL-3.0-or-later", "GPL-3.0-or-later"),
+        ("/s/a.py", "Apache-2.0", "Apache-2.0"),
+        ("/s/b.py", "GPL-3.0-or-later", "GPL-3.0-or-later"),
+        ("/m/LICENSE", "MIT", "MIT"),
+        ("/m/x.py", None, "MIT"),
+        ("/n/y.py", None, None),
+    }
+
+
 def test_license_plan_has_no_python(spark, sf):
     assert not PYTHON.search(plan(queries.op10_license_scan(spark, sf)))
