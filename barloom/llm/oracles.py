@@ -1,4 +1,4 @@
-"""The queries on repeated bytes, words and lines and on near-duplicates as SQL, for comparison on small tables."""
+"""The queries on repeated bytes, words and lines, near-duplicates and vectors as SQL, for comparison on small tables."""
 
 from __future__ import annotations
 
@@ -68,3 +68,60 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
        w.doc_id <= coalesce(m, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN root ON a = w.doc_id
 """
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _whole_numbers(scale: int) -> str:
+    return f"list_transform(embedding, lambda x: floor({scale} * x::DOUBLE))"
+
+
+PRODUCTS = f"""
+WITH c AS (SELECT vec_id, {_whole_numbers(256)} AS v FROM embeddings WHERE {_WHOLE}),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM c JOIN (SELECT DISTINCT vec_id, v FROM c WHERE vec_id % 50 = 0) q ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+NEGATIVES = f"""
+WITH c AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_whole_numbers(256)} AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM c JOIN c a ON a.vec_id <> c.vec_id AND a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same),
+f AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score
+  WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM f WHERE rank <= 5
+"""
+
+
+def clusters(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two common tables: the nearest centroids, and the means of their vectors."""
+    steps = [f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m FROM (SELECT v, sha256('3:' || vec_id) AS h FROM e ORDER BY h LIMIT {k}))"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (
+  SELECT vec_id, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': c}}) AS best
+  FROM e, c{r} GROUP BY vec_id, v)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (
+  SELECT c, list(floor_mean ORDER BY i) AS m FROM (
+    SELECT best.c AS c, i, ((sum(v[i]) - ((sum(v[i]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+    FROM a{r}, range(1, 65) t(i) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN m{r} n ON n.c = o.c)""")
+    return f"""
+WITH e AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND {_WHOLE}),
+{", ".join(steps)},
+t AS (SELECT best.c AS c, sum(best.d)::BIGINT AS inertia FROM a{rounds} GROUP BY 1)
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, t.inertia AS cluster_inertia, (SELECT sum(inertia) FROM t)::BIGINT AS inertia,
+       sha256(array_to_string(f.m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN t ON t.c = best.c JOIN c{rounds} f ON f.c = best.c
+"""

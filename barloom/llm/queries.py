@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, oracles, phrase_dedup, quality, suffix_dedup, tokens, warc
+from barloom.llm import (
+    clustering, decontaminate, hard_negatives, licenses, line_dedup, mixing, near_dedup, oracles, phrase_dedup, quality, suffix_dedup,
+    tokens, top_products, warc,
+)
 from barloom.llm.common import table
 from barloom.sources.stage import stage_root
 
@@ -65,13 +68,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(doc_id.alias("doc_id"), "own_license", "cosine", "license", "inherited_from", "n_words")
 
 
-_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op7_decontamination, op8_mixing, op9_line_dedup, op10_license_scan)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the id is divisible by 7 the label is the next one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+_ALL = (op1_suffix_dedup, op2_warc, op3_phrase_dedup, op4_near_dedup, op5_quality_rules, op6_token_counts, op7_decontamination, op8_mixing, op9_line_dedup, op10_license_scan, op11_centroid_clustering, op12_top_products, op13_hard_negatives)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {
     "op1_suffix_dedup": oracles.BYTES,
     "op3_phrase_dedup": oracles.WORDS,
     "op4_near_dedup": oracles.NEAR,
     "op9_line_dedup": oracles.LINES,
+    "op11_centroid_clustering": oracles.clusters(),
+    "op12_top_products": oracles.PRODUCTS,
+    "op13_hard_negatives": oracles.NEGATIVES,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_license_scan": licenses.oracle(),
     "op2_warc": """
