@@ -91,13 +91,13 @@ class _Totals:
         self.n, self.total = [0] * k, [[0] * dims for _ in range(k)]
 
     def add(self, written: DataFrame) -> None:
-        """Add the changes that the tasks wrote: two numbers of K x dims, summed in Spark."""
-        part = written.filter("kind = 1").select("cluster", "n", F.posexplode("total"))
-        big = F.sum(F.col("col").cast("decimal(38,0)")).alias("total")
-        for r in part.groupBy("cluster", "pos").agg(F.sum("n").alias("n"), big).collect():
-            self.total[r.cluster][r.pos] += int(r.total)
-            if r.pos == 0:
-                self.n[r.cluster] += r.n
+        """Add the changes that the tasks wrote, summed in Spark: a row for every cluster."""
+        dims = range(len(self.total[0]))
+        part = written.filter("kind = 1").groupBy("cluster")
+        for r in part.agg(F.sum("n").alias("n"), *(F.sum(F.col("total")[d].cast("decimal(38,0)")).alias(f"d{d}") for d in dims)).collect():
+            self.n[r.cluster] += r.n
+            for d in dims:
+                self.total[r.cluster][d] += int(r[f"d{d}"])
 
     def centroids(self, before: np.ndarray) -> np.ndarray:
         return np.array([[x // n for x in s] if n else list(c) for n, s, c in zip(self.n, self.total, before, strict=True)], np.int64)
@@ -188,9 +188,10 @@ def _state(row: pa.Array, cells: pa.Array, cluster: np.ndarray, dims: int) -> pa
 
 
 def _changes(n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
-    k = len(n)
+    which = np.flatnonzero((n != 0) | total.any(1))
+    k, n, total = len(which), n[which], total[which]
     nothing = [pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int8()))]
-    return pa.RecordBatch.from_arrays([*nothing, pa.array(np.arange(k, dtype=np.int32)), pa.array(np.ones(k, np.int32)), pa.array(n), lists(total, pa.int64())], names=[*STATE_COLUMNS, "kind", "n", "total"])
+    return pa.RecordBatch.from_arrays([*nothing, pa.array(which.astype(np.int32)), pa.array(np.ones(k, np.int32)), pa.array(n), lists(total, pa.int64())], names=[*STATE_COLUMNS, "kind", "n", "total"])
 
 
 def _first(bounds, centroids: np.ndarray) -> Callable:
