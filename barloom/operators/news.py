@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,9 +28,14 @@ SOURCE_WEIGHTS = {
 SOURCE_ORDER = ("google_news", "yahoo_finance", "finviz", "reddit")
 
 
+#: Stands for a missing title or address in the hash, which an empty one does not.
+MISSING = "\x01"
+
+
 def article_hash(title: Column, url: Column) -> Column:
-    """First 16 hex digits of md5(title, url)."""
-    return F.substring(F.md5(F.concat(title, url)), 1, 16)
+    """First 16 hex digits of md5(title, url). An article without either has no hash: it equals no other."""
+    both = F.concat(F.coalesce(title, F.lit(MISSING)), F.coalesce(url, F.lit(MISSING)))
+    return F.when(title.isNotNull() | url.isNotNull(), F.substring(F.md5(both), 1, 16))
 
 
 def with_hash(df: DataFrame) -> DataFrame:
@@ -56,12 +63,14 @@ def first_per(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def dedupe_articles(df: DataFrame, order: Sequence[str] = ("source_rank", "article_id")) -> DataFrame:
-    """One row per article hash; the first in source order stays."""
-    return first_per(df if "hash" in df.columns else with_hash(df), "hash", order)
+    """One row per article hash; the first in source order stays. Articles without a hash stay, one per place in the order."""
+    df = df if "hash" in df.columns else with_hash(df)
+    same = F.coalesce("hash", F.concat(F.lit("?"), F.to_json(F.struct(*order))))
+    return first_per(df.withColumn("_same", same), "_same", order).select("hash", *(c for c in df.columns if c != "hash"))
 
 
 def new_only(df: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
-    """Articles whose hash is not stored yet."""
+    """Articles whose hash is not stored yet; those without a hash are always new."""
     return df.join(seen.select(key), key, "left_anti")
 
 
@@ -69,10 +78,15 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str], order: Sequen
     """Insert or replace: rows of ``delta`` win over rows of ``base`` with the same keys.
 
     Of rows of ``delta`` with the same keys the last in ``order`` wins; without an order its keys must be unique.
+    Null is a value of a key like any other, unless all keys are null: such rows have no identity and are added.
     """
+    known = reduce(or_, (F.col(k).isNotNull() for k in keys))
     if order:
-        delta = first_of(delta, keys, [F.desc(c) for c in order])
-    kept = base.join(delta.select(*keys), list(keys), "left_anti")
+        some = first_of(delta.filter(known), keys, [F.desc(c) for c in order])
+        delta = some.unionByName(delta.filter(~known))
+    named = delta.filter(known).select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    kept = base.join(named, same, "left_anti")
     return kept.unionByName(delta.select(*(c for c in delta.columns if c not in order or c in base.columns)), allowMissingColumns=True)
 
 

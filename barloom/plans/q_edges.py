@@ -110,3 +110,41 @@ def article_long_titles(spark, sf):
     title = F.concat(F.repeat(F.lit("x"), F.lit(90)), F.col("article_id") % 40)
     a = N.with_hash(V.articles(spark, sf).withColumn("title", title)).withColumn("source_rank", F.lit(0))
     return N.dedupe_articles(a).select("hash", "article_id")
+
+
+# every tenth article has no address, every eleventh no title, so some have neither; ids beyond a million are copies
+NAMELESS = f"""{V.ARTICLES}, g AS (SELECT article_id, source, published, CASE WHEN article_id % 11 <> 0 THEN title END AS title,
+    CASE WHEN article_id % 10 <> 0 THEN url END AS url FROM articles),
+  b AS (SELECT * FROM g UNION ALL SELECT article_id + 1000000, source, published, title, url FROM g WHERE article_id % 3 = 0),
+  h AS (SELECT *, CASE WHEN title IS NOT NULL OR url IS NOT NULL THEN substr(md5(concat(coalesce(title, chr(1)), coalesce(url, chr(1)))), 1, 16) END AS hash FROM b),
+  dd AS (SELECT * FROM h QUALIFY hash IS NULL OR row_number() OVER (PARTITION BY hash ORDER BY article_id) = 1)"""
+
+
+def _nameless(spark, sf):
+    k = F.col("article_id")
+    g = V.articles(spark, sf).select("article_id", "source", "published", F.when(k % 11 != 0, F.col("title")).alias("title"), F.when(k % 10 != 0, F.col("url")).alias("url"))
+    copies = g.filter(k % 3 == 0).withColumn("article_id", k + 1000000)
+    return N.with_hash(g.unionByName(copies)).withColumn("source_rank", F.lit(0))
+
+
+@query(f"WITH {NAMELESS} SELECT article_id, hash FROM dd")
+def article_dedupe_nulls(spark, sf):
+    """Articles without a title or an address are told apart by the other; those without both all stay."""
+    return N.dedupe_articles(_nameless(spark, sf)).select("article_id", "hash")
+
+
+@query(f"WITH {NAMELESS}, seen AS (SELECT hash FROM h WHERE published < TIMESTAMP '2024-01-02' AND hash IS NOT NULL) SELECT article_id FROM h WHERE hash IS NULL OR hash NOT IN (SELECT hash FROM seen)")
+def article_new_only_nulls(spark, sf):
+    """Stored articles without title or address are recognised."""
+    h = _nameless(spark, sf)
+    return N.new_only(h, h.filter(F.col("published") < F.lit("2024-01-02").cast("timestamp_ntz"))).select("article_id")
+
+
+@query(f"""WITH {NAMELESS}, delta AS (SELECT article_id, hash, 'new' AS state FROM dd WHERE article_id % 2 = 0),
+    base AS (SELECT article_id, hash, 'old' AS state FROM dd)
+    SELECT * FROM base WHERE hash IS NULL OR hash NOT IN (SELECT hash FROM delta WHERE hash IS NOT NULL) UNION ALL SELECT * FROM delta""")
+def article_upsert_nulls(spark, sf):
+    """Articles without title or address are replaced by their hash; those without both are added."""
+    base = N.dedupe_articles(_nameless(spark, sf)).select("article_id", "hash")
+    delta = base.filter("article_id % 2 = 0").withColumn("state", F.lit("new"))
+    return N.upsert(base.withColumn("state", F.lit("old")), delta, ["hash"])

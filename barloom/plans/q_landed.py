@@ -8,6 +8,7 @@ from barloom.operators import families as FA
 from barloom.operators import scoring as SC
 from barloom.operators import universe as U
 from barloom.plans import views as V
+from barloom.plans.q_reference import CAP
 from barloom.plans.q_signals import factors
 from barloom.plans.registry import final, query
 from barloom.sources import barstore as BS
@@ -57,17 +58,18 @@ def delisted_files(spark, sf):
 
 @query(
     final(
-        f"""(WITH {V.WEEKLY} SELECT symbol, time, close, CASE WHEN close > 2000 THEN 1 ELSE 0 END AS delist_30d FROM bars
-        WHERE CAST(substr(symbol, 8) AS INTEGER) % 3 = 0)""",
+        f"""(WITH {V.WEEKLY} SELECT symbol, time, close, CASE WHEN close > 2000 THEN 1 ELSE 0 END AS delist_30d,
+        CAST(substr(symbol, 8) AS INTEGER) % 3 = 0 AS delisted FROM bars)""",
         "close",
     )
 )
 def delisted_store(spark, sf):
     """Delisted prices and labels, written as tables and loaded together."""
     prices, labels = new_path(spark, "prices"), new_path(spark, "labels")
-    b = V.weekly_layer(spark, sf).filter(F.substring("symbol", 8, 4).cast("int") % 3 == 0).select("symbol", "time", "close")
+    b = V.weekly_layer(spark, sf).select("symbol", "time", "close")
     BS.write_bars(b, prices)
-    b.select(F.col("symbol").alias("Symbol"), F.col("time").alias("Date"), (F.col("close") > 2000).cast("int").alias("delist_30d")).write.parquet(labels)
+    gone = (F.substring("symbol", 8, 4).cast("int") % 3 == 0).alias("delisted")
+    b.select(F.col("symbol").alias("Symbol"), F.col("time").alias("Date"), (F.col("close") > 2000).cast("int").alias("delist_30d"), gone).write.parquet(labels)
     return BS.load_delisted(spark, prices, labels)
 
 
@@ -86,17 +88,19 @@ def graph_files(spark, sf):
     return G.read_graph_records(spark, path).select(doc_id, "date", "url", "tone", F.size("themes").alias("n_themes"))
 
 
-@query("""SELECT CASE WHEN k < 10 THEN 'low' WHEN k < 20 THEN 'mid' ELSE 'high' END AS tier, count(*) AS n, list(symbol ORDER BY symbol) AS symbols
-    FROM (SELECT n_nationkey AS k, n_name AS symbol FROM nation) GROUP BY 1""")
+@query(f"""WITH c AS (SELECT concat('C', c_custkey) AS symbol, c_acctbal * 30000000 AS market_cap FROM customer)
+    SELECT {CAP} AS tier, count(*) AS n, count(*) AS n_listed, count(DISTINCT symbol) AS n_symbols, min(symbol) AS first, max(symbol) AS last FROM c GROUP BY 1""")
 def manifest_files(spark, sf):
-    """Manifests written and read back: counts, the summary and the symbol lists agree."""
-    path, k = new_path(spark, "manifest"), F.col("n_nationkey")
-    tiers = V.table(spark, sf, "nation").select(F.when(k < 10, "low").when(k < 20, "mid").otherwise("high").alias("tier"), F.col("n_name").alias("symbol"))
+    """Manifests of all customers' cap tiers written and read back: counts, the summary and the symbol lists agree."""
+    path = new_path(spark, "manifest")
+    tier = U.cap_tier(F.col("c_acctbal") * 30000000).alias("tier")
+    tiers = V.table(spark, sf, "customer").select(tier, F.concat(F.lit("C"), "c_custkey").alias("symbol"))
     BS.write_manifest(tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), tiers, path)
     counts = spark.read.schema("tier string, n long").json(f"{path}/counts")
     summary = spark.read.schema("tier string, n long").option("header", True).csv(f"{path}/summary")
-    listed = spark.read.schema("value string, tier string").text(f"{path}/symbols").groupBy("tier").agg(F.sort_array(F.collect_list("value")).alias("symbols"))
-    return counts.join(summary, ["tier", "n"]).join(listed, "tier").select("tier", "n", "symbols")
+    lists = spark.read.schema("value string, tier string").text(f"{path}/symbols").groupBy("tier")
+    listed = lists.agg(F.count(F.lit(1)).alias("n_listed"), F.countDistinct("value").alias("n_symbols"), F.min("value").alias("first"), F.max("value").alias("last"))
+    return counts.join(summary, ["tier", "n"]).join(listed, "tier")
 
 
 @query(f"""WITH {V.WEEKLY}, s AS (SELECT DISTINCT symbol FROM bars)
