@@ -213,7 +213,7 @@ HOURS = _tick_bars("date_trunc('hour', time)")
 def stream_bars_1h(spark, sf):
     """Hourly bars built by a stream, newest revision of each."""
     out, checkpoint = _folders(spark)
-    J.revisions(J.bars(_tick_stream(spark, sf)), out, checkpoint)
+    J.revisions(J.bars(_tick_stream(spark, sf)), out, checkpoint, ["symbol", "time"])
     return J.newest(spark, out, ["symbol", "time"])
 
 
@@ -227,7 +227,7 @@ def stream_rollup_1h(spark, sf):
         "symbol", "time", p.alias("open"), p.alias("high"), p.alias("low"), p.alias("close"), F.col("size").cast("long").alias("volume"),
         F.lit(1).alias("trade_count"), p.alias("vwap"),
     )
-    J.revisions(J.coarser_bars(small), out, checkpoint)
+    J.revisions(J.coarser_bars(small), out, checkpoint, ["symbol", "time"])
     return J.newest(spark, out, ["symbol", "time"])
 
 
@@ -263,7 +263,7 @@ def stream_latest_quote(spark, sf):
     out, checkpoint = _folders(spark)
     t = _tick_stream(spark, sf)
     q = t.select("symbol", "time", "seq", (F.col("price") * 0.999).alias("bid"), (F.col("price") * 1.001).alias("ask"))
-    J.revisions(J.latest_quotes(q), out, checkpoint)
+    J.revisions(J.latest_quotes(q), out, checkpoint, ["symbol"])
     return J.newest(spark, out, ["symbol"]).select("symbol", "seq", "bid")
 
 
@@ -299,8 +299,8 @@ def halt_intervals(spark, sf):
     out, checkpoint = _folders(spark)
     t = J.event_time(_tick_stream(spark, sf))
     o = t.select("symbol", "time", "seq", (~F.col("exchange").isin("error", "click")).alias("ok"))
-    J.revisions(J.halt_intervals(o), out, checkpoint, mode="append")
-    df = spark.read.parquet(out).drop("_batch")
+    J.halt_intervals(o, out, checkpoint)
+    df = J.halts(spark, out)
     return df.withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 

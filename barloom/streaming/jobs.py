@@ -1,7 +1,7 @@
 """Structured Streaming twins of the batch operators.
 
-Keyed results go to a revision table: every micro-batch overwrites its own folder, so a repeated batch
-changes nothing, and a reader takes the newest revision of each key.
+Keyed results go to a ``KeyedStore``: every micro-batch overwrites its own folder, so a repeated batch changes nothing, a
+reader takes the newest revision of each key, and revisions are merged into generations as they add up.
 """
 
 from __future__ import annotations
@@ -9,16 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.expr import ratio
+from barloom.functions.positions import number_sorted
 from barloom.functions.series import Series
 from barloom.operators.bars import order_key
+from barloom.operators.halts import HALT, STATE, halt_changes
 from barloom.operators.latest import last_n
 from barloom.sources import messages
-from barloom.sources.stage import exists
+from barloom.sources.keyed_store import KeyedStore, Snapshots
 
 # Refresh cadences of the screening steps.
 CADENCES = {"factors": "1 minute", "rankings": "5 minutes", "sentiment": "15 minutes", "universe": "1 day"}
@@ -35,11 +36,14 @@ def event_time(df: DataFrame, time: str = "time") -> DataFrame:
 # -- running and sinks ---------------------------------------------------------------------------
 
 
-def revisions(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "update", every: str | None = None):
-    """Write a keyed stream as revisions. Without ``every`` it takes what is there and stops."""
+def revisions(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = (), *, mode: str = "update", every: str | None = None, merge: int = 16):
+    """Write a keyed stream as revisions. Without ``every`` it takes what is there and stops.
+
+    With ``keys`` the revisions are merged after ``merge`` micro-batches; without, all of them stay.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+        KeyedStore(batch.sparkSession, path, keys, merge).write(batch, batch_id)
 
     return _start(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, every)
 
@@ -55,9 +59,10 @@ def _start(writer, checkpoint: str, every: str | None):
 
 def newest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
     """The newest revision of every key."""
-    df = spark.read.option("basePath", path).parquet(path)
-    w = Window.partitionBy(*keys).orderBy(F.desc("_batch"))
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank", "_batch")
+    rows = KeyedStore(spark, path, keys).read()
+    if rows is None:
+        raise ValueError(f"nothing has been written to {path} yet")
+    return rows
 
 
 # -- bars ----------------------------------------------------------------------------------------
@@ -137,20 +142,10 @@ def latest_quotes(quotes: DataFrame) -> DataFrame:
 
 # -- kept rows per symbol --------------------------------------------------------------------------
 # A symbol's rows of one micro-batch would all meet in one task in a keyed-state operator. These jobs
-# keep the state as a small table instead (the last rows of every symbol, one folder per micro-batch)
+# keep the state as a small table instead (the last rows of every symbol, replaced by every micro-batch)
 # and run the block windows and per-task limits of the batch operators on it.
 
 
-def _kept(spark: SparkSession, path: str, batch_id: int, empty: DataFrame) -> DataFrame:
-    """The rows kept by the newest micro-batch before this one."""
-    if not exists(spark, path):
-        return empty.limit(0)
-    df = spark.read.schema(f"{_ddl(empty)}, _batch bigint").option("basePath", path).parquet(path)
-    before = df.filter(F.col("_batch") < batch_id)
-    last = before.agg(F.max("_batch").alias("b")).scalar()
-    return before.filter(F.col("_batch") == last).drop("_batch")
-
-
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
 
@@ -178,7 +173,8 @@ def score_histories(
         spark = batch.sparkSession
         batch.persist()
         new = batch.select("symbol", "time", "seq", *(F.col(n).cast("double") for n in names))
-        old = _kept(spark, f"{out}/kept", batch_id, new)
+        kept = Snapshots(spark, f"{out}/kept")
+        old = kept.before(batch_id, _ddl(new))
         edge = old.groupBy("symbol").agg(
             F.count(F.lit(1)).alias("_n"), F.min(F.struct("time", "seq")).alias("_oldest")
         )
@@ -187,13 +183,13 @@ def score_histories(
         dated.filter("_late").drop("_late").write.mode("overwrite").parquet(f"{out}/late/_batch={batch_id}")
         new = dated.filter("NOT _late").drop("_late")
         both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-        s = Series.of(both, behind=keep, order=("time", "seq"), chunk="day")
+        s = Series.of(number_sorted(both, ["symbol"], ["time", "seq"]), behind=keep)
         s = s.with_columns(_h=F.collect_list(F.struct(*names)).over(s.rows(keep)))
-        rows = s.own().filter("_new").withColumn("n_bars", F.size("_h")).withColumn("ready", F.col("n_bars") >= ready)
+        rows = s.own(keep_t=False).filter("_new").withColumn("n_bars", F.size("_h")).withColumn("ready", F.col("n_bars") >= ready)
         rows = rows.withColumn("score", score(F.when(F.col("ready"), F.col("_h"))))
         done = rows.select("symbol", "time", "seq", "n_bars", "ready", "score")
         done.write.mode("overwrite").parquet(f"{out}/scores/_batch={batch_id}")
-        last_n(both.drop("_new"), keep).drop("age").write.mode("overwrite").parquet(f"{out}/kept/_batch={batch_id}")
+        kept.write(last_n(both.drop("_new"), keep).drop("age"), batch_id)
         batch.unpersist()
 
     return _start(stream.writeStream.foreachBatch(step), checkpoint, every)
@@ -208,67 +204,42 @@ def last_trades(stream: DataFrame, out: str, checkpoint: str, n: int = 100, ever
     """Keep every symbol's newest n rows (by time, seq) in a table below ``out``."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        both = _kept(batch.sparkSession, out, batch_id, batch).unionByName(batch)
-        last_n(both, n).drop("age").write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        kept = Snapshots(batch.sparkSession, out)
+        kept.write(last_n(kept.before(batch_id, _ddl(batch)).unionByName(batch), n).drop("age"), batch_id)
 
     return _start(stream.writeStream.foreachBatch(step), checkpoint, every)
 
 
 def newest_trades(spark: SparkSession, out: str, n: int = 100) -> DataFrame:
     """The table of ``last_trades`` after its newest micro-batch, with the age of each row."""
-    df = spark.read.option("basePath", out).parquet(out)
-    last = df.agg(F.max("_batch").alias("b")).scalar()
-    return last_n(df.filter(F.col("_batch") == last).drop("_batch"), n)
+    rows = Snapshots(spark, out).read()
+    if rows is None:
+        raise ValueError(f"nothing has been written to {out} yet")
+    return last_n(rows, n)
 
 
-# -- keyed state ---------------------------------------------------------------------------------
+# -- trading halts ---------------------------------------------------------------------------------
 
 
-# Failures that stop trading, and the cool-down in seconds.
-HALT = {"failures": 5, "cooldown": 300}
+def halt_intervals(stream: DataFrame, out: str, checkpoint: str, failures: int = HALT["failures"], cooldown: int = HALT["cooldown"], every: str | None = None):
+    """Trading halts of an outcome stream (symbol, time, seq, ok), see ``operators.halts``.
 
+    A micro-batch is folded in parallel, from the state that the one before left (one row per symbol). Its changes go to
+    a folder of its own below ``out``, so a repeated batch changes nothing.
+    """
 
-def halt_intervals(stream: DataFrame, failures: int = HALT["failures"], cooldown: int = HALT["cooldown"]) -> DataFrame:
-    """Trading halts from an outcome stream (symbol, time, seq, ok).
+    def step(batch: DataFrame, batch_id: int) -> None:
+        states = Snapshots(batch.sparkSession, f"{out}/state")
+        changes, after = halt_changes(batch, states.before(batch_id, STATE), failures, cooldown)
+        KeyedStore(batch.sparkSession, f"{out}/changes").write(changes, batch_id)
+        states.write(after, batch_id)
 
-    Failures add up until a probe succeeds; from the limit on trading is halted. The first attempt after
-    the cool-down is a probe: success resumes trading and clears the count, failure starts a new halt.
-    Attempts during a halt are blocked and change nothing. Emits one row per state change. The fold is
-    one step after the other by nature; a symbol's outcomes of one micro-batch (bounded by the source's
-    rate limit) meet in one task.
-    """
-    out = "symbol string, time timestamp, seq bigint, state string, failures int"
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mode, count, last = state.get if state.exists else ("CLOSED", 0, 0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["time", "seq"]).itertuples(index=False):
-            now = r.time.value // 1000
-            if mode == "OPEN":
-                if now - last <= cooldown * 1_000_000:
-                    continue
-                mode = "HALF_OPEN"
-                rows.append((key[0], r.time, int(r.seq), mode, count))
-            before = mode
-            if r.ok:
-                if mode == "HALF_OPEN":
-                    mode, count = "CLOSED", 0
-            else:
-                count, last = count + 1, now
-                if count >= failures:
-                    mode = "OPEN"
-            if mode != before:
-                rows.append((key[0], r.time, int(r.seq), mode, count))
-        state.update((mode, count, last))
-        yield pd.DataFrame(rows, columns=["symbol", "time", "seq", "state", "failures"])
-
-    return stream.groupBy("symbol").applyInPandasWithState(
-        step,
-        outputStructType=out,
-        stateStructType="state string, failures int, last_failure bigint",
-        outputMode="append",
-        timeoutConf=GroupStateTimeout.NoTimeout,
-    )
+    return _start(stream.writeStream.foreachBatch(step), checkpoint, every)
+
+
+def halts(spark: SparkSession, out: str) -> DataFrame:
+    """The state changes that ``halt_intervals`` has written."""
+    return KeyedStore(spark, f"{out}/changes").revisions().drop("_batch")
 
 
 # -- messages and articles -----------------------------------------------------------------------
@@ -293,18 +264,18 @@ def dispatch(raw: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None
 
 def articles(
     docs: DataFrame, symbols: Column, score: Callable[[DataFrame], DataFrame], store: str, checkpoint: str,
-    publish: Callable[[DataFrame, int], None] | None = None, every: str | None = None,
+    publish: Callable[[DataFrame, int], None] | None = None, every: str | None = None, merge: int = 16,
 ) -> object:
     """Article stream: score the text, one row per mentioned symbol, keyed store, then publish.
 
-    ``symbols`` is an array column; ``score`` adds sentiment and confidence. The store is a revision
-    table keyed by (article_id, symbol): a repeated article replaces its rows.
+    ``symbols`` is an array column; ``score`` adds sentiment and confidence. The store is keyed by (article_id, symbol): a
+    repeated article replaces its rows, and revisions are merged after ``merge`` micro-batches.
     """
     rows = score(docs).withColumn("symbol", F.explode(F.array_distinct(symbols)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        batch.write.mode("overwrite").parquet(f"{store}/_batch={batch_id}")
+        KeyedStore(batch.sparkSession, store, ["article_id", "symbol"], merge).write(batch, batch_id)
         if publish is not None:
             publish(batch, batch_id)
         batch.unpersist()
