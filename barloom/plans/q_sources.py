@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from barloom.operators import scoring as SC
 from barloom.operators import universe as U
+from barloom.operators.bars import bars_from_ticks
 from barloom.operators.stats import summary
 from barloom.plans import views as V
 from barloom.plans.q_bars import _tick_bars
@@ -17,8 +19,9 @@ from barloom.plans.registry import final, query
 from barloom.plans.sqltext import W, over
 from barloom.sources import barstore as BS
 from barloom.sources import landed as LD
-from barloom.sources.stage import stage_root
+from barloom.sources.stage import new_path, stage_root
 from barloom.streaming import jobs as J
+from barloom.streaming import refresh as R
 
 AS_OF = "2024-01-08 00:00:00"
 
@@ -353,3 +356,94 @@ def stream_audit(spark, sf):
     rows = spark.read.schema("event_type string, symbol string, details string").json(f"{out}/day=*")
     d = F.from_json("details", "composite double, action string")
     return rows.select("symbol", "event_type", d["action"].cast("long").alias("seq"), d["composite"].alias("composite"))
+
+
+# -- refreshed results ---------------------------------------------------------------------------
+
+
+def _hourly(ticks):
+    return bars_from_ticks(ticks, "1h", order=("time", "seq"))
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS.replace("ticks AS", "all_ticks AS")}, ticks AS (SELECT t.* FROM all_ticks t, (SELECT date_trunc('hour', max(time)) AS now FROM all_ticks)
+        WHERE time >= now - INTERVAL 3 HOUR OR seq % 10 <> 3), {HOURS} SELECT * FROM minute_bars)""",
+        "open high low close vwap",
+    )
+)
+def continuous_bars(spark, sf):
+    """Hourly bars under a refresh policy: every tenth tick came after its hour had been materialised, and counts where the next refresh reaches."""
+    ticks = V.event_ticks(spark, sf)
+    now = datetime.fromisoformat(ticks.agg(F.date_trunc("hour", F.max("time")).cast("string")).first()[0])
+    early = ticks.filter((F.col("seq") % 10 != 3) & (F.col("time") < R.at(now - R.REFRESH["every"])))
+    bars = R.ContinuousAggregate(spark, new_path(spark, "continuous"), _hourly)
+    bars.rebuild(early, None, now - R.REFRESH["every"] - bars.policy.end)
+    bars.refresh(ticks, now)
+    return bars.read(ticks)
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS.replace("ticks AS", "all_ticks AS")}, ticks AS (SELECT * FROM all_ticks WHERE time < (SELECT date_trunc('hour', max(time)) - INTERVAL 1 HOUR FROM all_ticks)),
+        {HOURS} SELECT * FROM minute_bars)""",
+        "open high low close vwap",
+    )
+)
+def stream_continuous_bars(spark, sf):
+    """What a stream of ticks has materialised under the policy: all but the open head."""
+    out, checkpoint = _folders(spark)
+    bars = R.ContinuousAggregate(spark, f"{out}/bars", _hourly)
+    R.keep_refreshed(_tick_stream(spark, sf), bars, out, checkpoint)
+    return bars.materialised()
+
+
+def _screened(spark, sf):
+    out, checkpoint = _folders(spark)
+    steps = R.screening(spark, out, news=F.col("exchange") == "click", tone=(F.col("seq") % 21 - 10) / 10)
+    R.cadenced(_tick_stream(spark, sf), steps, out, checkpoint)
+    return out
+
+
+SPANS = {"factors": 60, "rankings": 300, "sentiment": 900, "universe": 86400}
+DUE = " UNION ALL ".join(
+    f"""SELECT '{n}' AS output, unnest(generate_series(time_bucket(INTERVAL {s} SECOND, a, TIMESTAMP '1970-01-01') + INTERVAL {s} SECOND,
+    time_bucket(INTERVAL {s} SECOND, b, TIMESTAMP '1970-01-01'), INTERVAL {s} SECOND)) AS due_at FROM span"""
+    for n, s in SPANS.items()
+)
+
+
+def _bucket(column: str, step: str, shift: int = 1) -> str:
+    s = SPANS[step]
+    return f"time_bucket(INTERVAL {s} SECOND, {column}, TIMESTAMP '1970-01-01') + INTERVAL {s * shift} SECOND"
+
+
+SCREENED = f"""{V.TICKS}, span AS (SELECT min(time) AS a, max(time) AS b FROM ticks), due AS ({DUE}),
+  f AS (SELECT {_bucket("time", "factors")} AS t, symbol, avg(price) AS price FROM ticks GROUP BY 1, 2),
+  u AS (SELECT {_bucket("time", "universe")} AS t, symbol FROM ticks GROUP BY 1, 2 HAVING sum(size) >= 1),
+  s AS (SELECT {_bucket("time", "sentiment")} AS t, symbol, avg((seq % 21 - 10) / 10) AS sentiment FROM ticks WHERE exchange = 'click' GROUP BY 1, 2),
+  g AS (SELECT {_bucket("t - INTERVAL 1 MICROSECOND", "rankings")} AS t, symbol, arg_max(price, f.t) / arg_min(price, f.t) - 1 AS change FROM f GROUP BY 1, 2),
+  sc AS (SELECT g.t, g.symbol, change + coalesce(sentiment, 0) AS score FROM g JOIN u ON u.symbol = g.symbol AND u.t = {_bucket("g.t", "universe", 0)}
+    LEFT JOIN s ON s.symbol = g.symbol AND s.t = {_bucket("g.t", "sentiment", 0)}),
+  r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, symbol) AS rank FROM sc)"""
+
+
+@query(f"""WITH {SCREENED}, made AS (SELECT 'factors' AS output, t, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'universe', t, count(*) FROM u GROUP BY ALL
+    UNION ALL SELECT 'sentiment', t, count(*) FROM s GROUP BY ALL UNION ALL SELECT 'rankings', t, count(*) FROM r WHERE rank <= 20 GROUP BY ALL)
+    SELECT due.output, due_at, coalesce(n, 0) AS n FROM due LEFT JOIN made ON made.output = due.output AND t = due_at""")
+def cadence_due(spark, sf):
+    """When event time made which output due, and how many rows each refresh gave."""
+    out = _screened(spark, sf)
+    made = None
+    for name in SPANS:
+        part = R.output(spark, out, name).groupBy("refreshed_at").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(name))
+        made = part if made is None else made.unionByName(part)
+    due = R.due_table(spark, out)
+    found = due.join(made.withColumnRenamed("refreshed_at", "due_at"), ["output", "due_at"], "left")
+    return found.select("output", "due_at", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(final(f"(WITH {SCREENED} SELECT r.t AS refreshed_at, symbol, rank::INTEGER AS rank, score FROM r JOIN due ON output = 'rankings' AND due_at = r.t WHERE rank <= 20)", "score"))
+def cadenced_rankings(spark, sf):
+    """Rankings every five minutes, from factors of a minute, sentiment of a quarter of an hour and the day's universe."""
+    return R.output(spark, _screened(spark, sf), "rankings").select("refreshed_at", "symbol", "rank", "score")

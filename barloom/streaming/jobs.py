@@ -21,11 +21,8 @@ from barloom.operators.latest import last_n
 from barloom.sources import messages
 from barloom.sources.keyed_store import KeyedStore, Snapshots
 
-# Refresh cadences of the screening steps.
-CADENCES = {"factors": "1 minute", "rankings": "5 minutes", "sentiment": "15 minutes", "universe": "1 day"}
-
-# How far back the hourly bars are refreshed, and how often.
-REFRESH = {"late": "3 hours", "every": "1 hour"}
+#: How far behind stream state is kept where a job is asked to drop it: as far as the hourly bars are refreshed.
+LATE = "3 hours"
 
 
 def event_time(df: DataFrame, time: str = "time") -> DataFrame:
@@ -76,7 +73,7 @@ def _watermarked(df: DataFrame, late: str | None) -> DataFrame:
 def bars(ticks: DataFrame, size: str = "1 hour", late: str | None = None, order: Sequence[str] = ("time", "seq")) -> DataFrame:
     """Tick stream to bars. Every tick revises its bar, however late; the state is one row per bar.
 
-    With ``late`` (REFRESH has the usual bound) older state is dropped, and so are ticks further behind than that: then
+    With ``late`` (``LATE`` is the usual bound) older state is dropped, and so are ticks further behind than that: then
     the result depends on how the ticks are cut into micro-batches.
     """
     ticks = _watermarked(ticks, late)
@@ -122,7 +119,7 @@ def coarser_bars(small: DataFrame, size: str = "1 hour", late: str | None = None
     )
 
 
-def sliding_factors(ticks: DataFrame, span: str = CADENCES["rankings"], slide: str = CADENCES["factors"], late: str | None = None) -> DataFrame:
+def sliding_factors(ticks: DataFrame, span: str = "5 minutes", slide: str = "1 minute", late: str | None = None) -> DataFrame:
     """Factor inputs over a sliding span (batch, or a stream where ``late`` is given)."""
     t = event_time(ticks)
     if late is not None:

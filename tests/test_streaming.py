@@ -49,7 +49,7 @@ def test_bars_over_batches_with_late_rows(spark, where):
     folder, out, checkpoint = where
     first = [tick(i, i, 100 + i % 7) for i in range(0, 600, 3)]
     land(spark, folder, "1", first)
-    stream = lambda: J.bars(source(spark, folder), late=J.REFRESH["late"])
+    stream = lambda: J.bars(source(spark, folder), late=J.LATE)
     J.revisions(stream(), out, checkpoint)
     near, far = tick(560, 9001, 500), tick(5, 9002, 999)
     land(spark, folder, "2", [near, far, tick(650, 9003, 101)])
