@@ -19,7 +19,9 @@ from barloom.plans.registry import final, query
 from barloom.plans.sqltext import W, over
 from barloom.sources import barstore as BS
 from barloom.sources import landed as LD
+from barloom.sources import messages as MS
 from barloom.sources.stage import new_path, stage_root
+from barloom.streaming import delivery as D
 from barloom.streaming import jobs as J
 from barloom.streaming import refresh as R
 
@@ -447,3 +449,68 @@ def cadence_due(spark, sf):
 def cadenced_rankings(spark, sf):
     """Rankings every five minutes, from factors of a minute, sentiment of a quarter of an hour and the day's universe."""
     return R.output(spark, _screened(spark, sf), "rankings").select("refreshed_at", "symbol", "rank", "score")
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS} SELECT seq, 'TRADE' AS topic, symbol, price FROM ticks
+        UNION ALL SELECT seq, 'SIGNAL', symbol, price / 500 FROM ticks WHERE exchange IN ('click', 'purchase'))""",
+        "price",
+    )
+)
+def published_messages(spark, sf):
+    """Trades and signals of a stream sent to topics; a batch is repeated, and once more after a loss of the ledger; each message is read once."""
+    out, checkpoint = _folders(spark)
+    t = _tick_stream(spark, sf).withColumn("timestamp", MS.timestamp_to_ns(F.col("time")))
+    named = t.withColumns({"symbol": F.concat_ws("|", "symbol", "seq"), "signal_type": F.lit("BUY"), "strength": F.col("price") / 500, "source": F.lit("model")})
+    rows = MS.to_topic(named, "TRADE").unionByName(MS.to_topic(named.filter(F.col("exchange").isin("click", "purchase")), "SIGNAL"))
+    first = D.Publisher(f"{out}/ledger", "parquet", {"path": f"{out}/topics"}, ["TRADE", "SIGNAL"])
+    D.publish(rows, first, checkpoint)
+    sent = spark.read.schema("key string, value string, id string, topic string").option("basePath", f"{out}/topics").parquet(f"{out}/topics/topic=*")
+    again = sent.drop("id")
+    first(again, 0)
+    D.Publisher(f"{out}/lost", "parquet", {"path": f"{out}/topics"}, ["SIGNAL"])(again, 0)
+    got = D.sent_files(spark, f"{out}/topics")
+    at = F.split("symbol", r"\|")
+    parts = [("TRADE", "price"), ("SIGNAL", "strength")]
+    both = [MS.from_topic(got, n).select(at[1].cast("long").alias("seq"), F.lit(n).alias("topic"), at[0].alias("symbol"), F.col(c).alias("price")) for n, c in parts]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS} SELECT seq, symbol, price AS composite, CASE WHEN price > 150 THEN 'BUY' ELSE 'HOLD' END AS action, price * 0.95::DOUBLE AS stop_loss FROM ticks)""",
+        "composite stop_loss",
+    )
+)
+def signal_messages(spark, sf):
+    """Signal messages of a dashboard, written and read back."""
+    path, price = new_path(spark, "signals"), F.col("price")
+    names = ("technical_signal", "prediction_signal", "sentiment_signal", "confidence", "position_size", "take_profit", "expected_return")
+    t = V.event_ticks(spark, sf).withColumns({n: F.lit(0.5) for n in names})
+    t = t.withColumns({"composite_signal": price, "action": F.when(price > 150, "BUY").otherwise("HOLD"), "stop_loss": price * 0.95})
+    MS.signal_message(t.withColumn("symbol", F.concat_ws("|", "symbol", "seq"))).select("value").write.text(path)
+    body = F.from_json("value", "type string, symbol string, composite double, action string, stop_loss double").alias("m")
+    m = spark.read.text(path).select(body).filter("m.type = 'signal'").select("m.*")
+    at = F.split("symbol", r"\|")
+    return m.select(at[1].cast("long").alias("seq"), at[0].alias("symbol"), "composite", "action", "stop_loss")
+
+
+@query(
+    final(
+        f"""(WITH {V.TICKS} SELECT CAST(time AS DATE) AS day, event_type, count(*) AS n, sum(composite) AS total FROM (
+        SELECT time, 'SIGNAL' AS event_type, price AS composite FROM ticks UNION ALL SELECT time, 'ORDER', price * 2 FROM ticks WHERE size > 5) GROUP BY ALL)""",
+        "total", digits=4,
+    ),
+    digits=4,
+)
+def audit_log(spark, sf):
+    """Signals and orders appended to one audit log, which is read back by day."""
+    path, t = new_path(spark, "audit"), V.event_ticks(spark, sf)
+    signals = t.withColumns({"composite_signal": F.col("price"), "action": F.lit("BUY"), "confidence": F.lit(1.0)})
+    orders = t.filter("size > 5").withColumns({"side": F.lit("BUY"), "quantity": F.col("size"), "price": F.col("price") * 2, "reason": F.lit(None).cast("string")})
+    MS.append_audit(MS.audit_signals(signals), path)
+    MS.append_audit(MS.audit_orders(orders), path)
+    rows = spark.read.schema("event_type string, symbol string, details string, day date").option("basePath", path).json(path)
+    d = F.from_json("details", "composite double, price double")
+    return rows.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(d["composite"], d["price"])).alias("total"))

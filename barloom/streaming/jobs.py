@@ -285,8 +285,3 @@ def audit(signals: DataFrame, path: str, checkpoint: str, every: str | None = No
     rows = messages.audit_signals(signals).withColumn("day", F.to_date("time"))
     writer = rows.writeStream.outputMode("append").format("json").partitionBy("day").option("path", path)
     return _start(writer, checkpoint, every)
-
-
-def publish(stream: DataFrame, sink: str, options: dict[str, str], checkpoint: str, every: str | None = None):
-    """Write key / value / topic rows to a message sink or files."""
-    return _start(stream.writeStream.format(sink).options(**options), checkpoint, every)

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import bars_from_ticks
+from barloom.sources.keyed_store import Folder
+from barloom.streaming import delivery as D
 from barloom.streaming import jobs as J
 
 SCHEMA = "symbol string, time timestamp_ntz, seq bigint, price double, size bigint"
@@ -130,7 +132,7 @@ def test_halts_over_batches(spark, where):
     ]
 
 
-def test_dispatch_articles_and_publish(spark, where, tmp_path):
+def test_dispatch_and_articles(spark, where, tmp_path):
     folder, out, checkpoint = where
     schema = "value string"
     land(spark, folder, "1", [('{"ev":"T","sym":"A","t":1,"p":1.0,"s":2}',), ("broken",)], schema)
@@ -150,6 +152,24 @@ def test_dispatch_articles_and_publish(spark, where, tmp_path):
     got = {(r.article_id, r.symbol): r.sentiment for r in J.newest(spark, out, ["article_id", "symbol"]).collect()}
     assert got == {(1, "A"): -1.0, (1, "B"): -1.0, (2, "A"): -1.0, (2, "B"): -1.0} and published == [4, 2]
 
-    rows = source(spark, folder, schema).select(F.lit("k").alias("key"), "value")
-    J.publish(rows, "json", {"path": str(tmp_path / "topic")}, checkpoint + "p")
-    assert spark.read.json(str(tmp_path / "topic")).count() == 3
+
+
+def test_messages_are_delivered_once(spark, where, tmp_path):
+    """Repeated batches, a job that ends between sending and noting, and equal messages that are meant twice."""
+    folder, _, checkpoint = where
+    schema = "key string, value string, topic string"
+    batches = [[("a", "1", "X"), ("a", "1", "X"), ("a", "1", "Y"), (None, "2", "Y")], [("a", "1", "X"), ("b", None, "X"), ("c", "3", "Z")]]
+    for i, rows in enumerate(batches):
+        land(spark, folder, str(i), rows, schema)
+    path = str(tmp_path / "topics")
+    publisher = D.Publisher(str(tmp_path / "ledger"), "json", {"path": path}, ["X", "Y"])
+    D.publish(source(spark, folder, schema), publisher, checkpoint)
+    want = sorted(str(r) for rows in batches for r in rows if r[2] in "XY")
+    got = lambda: sorted(str((r.key, r.value, r.topic)) for r in D.sent_files(spark, path, "json").collect())
+    assert got() == want and publisher.delivered(spark) == {("X", 0), ("X", 1), ("Y", 0), ("Y", 1)}
+    again = spark.createDataFrame(batches[0], schema)
+    publisher(again, 0)
+    assert spark.read.json(path).count() == len(want)  # not sent again
+    Folder(spark, publisher.ledger).drop("delivered/Y-0")
+    publisher(again.repartition(3), 0)  # Y had been sent, but not noted
+    assert spark.read.json(path).count() == len(want) + 2 and got() == want
