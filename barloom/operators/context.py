@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.positions import sorted_runs
 from barloom.functions.series import group_of
 
+#: Rows of a key that meet in one task where no calendar unit bounds them.
+ROWS = 4096
+
 
 def market_context(bars: DataFrame, names: Sequence[str], value: str = "close") -> DataFrame:
     """One row per time with ``{name}_{value}`` for every series, forward-filled.
@@ -21,24 +25,26 @@ def market_context(bars: DataFrame, names: Sequence[str], value: str = "close")
 
 
 def forward_fill(
-    df: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), time: str = "time", chunk: str = "month"
+    df: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), time: str = "time", chunk: str | None = "month"
 ) -> DataFrame:
     """Carry the last known value of each column forward in time.
 
     Filled inside calendar chunks first; a chunk whose head is empty takes the last known value of the
-    chunks before it, read from one summary row per chunk. No task holds a whole series.
+    chunks before it, read from one summary row per chunk. No task holds a whole series. A calendar unit suits bars, which
+    have one row per key and time; with ``chunk=None`` chunks are cut by number of rows (``ROWS``), for any rows.
     """
     ordered = df.withColumns({"_at": F.col(time), "_o": F.col(time)})
     return _fill_ordered(ordered, names, list(key), chunk).drop("_at", "_o")
 
 
 def as_of(
-    left: DataFrame, right: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), chunk: str = "hour"
+    left: DataFrame, right: DataFrame, names: Sequence[str], *, key: Sequence[str] = ("symbol",), chunk: str | None = None
 ) -> DataFrame:
     """Left rows with the newest right row at or before their time (clocks may differ).
 
     The values come from one right row, nulls in it included. All left rows stay: a null key meets null keys, a null
-    time finds nothing. ``chunk`` is the calendar unit of a key that meets in one task; ticks need a small one.
+    time finds nothing. Rows of a key meet in chunks of ``ROWS`` rows, so a hot key, or a hot moment of it, is many tasks; ``chunk``
+    names a calendar unit instead, which saves writing the rows once where it bounds them.
     """
     key = list(key)
     found = right.filter(F.col("time").isNotNull()).select(*key, "time", F.struct(*names).alias("_found"))
@@ -52,9 +58,19 @@ def as_of(
     return out.withColumns({n: F.col(f"_found.{n}") for n in names}).drop("_found")
 
 
-def _fill_ordered(df: DataFrame, names: Sequence[str], key: list[str], chunk: str) -> DataFrame:
+def chunked(df: DataFrame, key: Sequence[str], chunk: str | None) -> tuple[DataFrame, str]:
+    """Rows with their chunk in ``_g``, a struct of the key and something that grows with ``_o``; and the order inside it."""
+    if chunk is None:
+        df, unit, order = sorted_runs(df, key, ["_o"]), F.struct("_run", F.floor(F.col("_place") / ROWS).alias("block")), "_place"
+    else:
+        unit, order = F.date_trunc(chunk, F.col("_at")), "_o"
     # one struct of key and chunk: it is never null, so no row is lost in the join
-    df = df.withColumn("_g", F.struct(group_of(key).alias("key"), F.date_trunc(chunk, F.col("_at")).alias("chunk")))
+    return df.withColumn("_g", F.struct(group_of(key).alias("key"), unit.alias("chunk"))), order
+
+
+def _fill_ordered(df: DataFrame, names: Sequence[str], key: list[str], chunk: str | None) -> DataFrame:
+    kept = df.columns
+    df, order = chunked(df, key, chunk)
     if len(names) == 1:
         # the last known value of a chunk may be of any type: cut to one row per task and chunk before the shuffle
         last = Window.partitionBy("_g").orderBy(F.col(names[0]).isNull(), F.desc("_o"))
@@ -68,11 +84,11 @@ def _fill_ordered(df: DataFrame, names: Sequence[str], key: list[str], chunk: st
     carry = ends.select(
         "_g", *(F.last(f"_{n}_end", ignorenulls=True).over(earlier).alias(f"_{n}_carry") for n in names)
     )
-    inside = Window.partitionBy("_g").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = df.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
     out = filled.join(carry, "_g")
     out = out.withColumns({n: F.coalesce(F.col(n), F.col(f"_{n}_carry")) for n in names})
-    return out.drop("_g", *(f"_{n}_carry" for n in names))
+    return out.select(*kept)
 
 
 def join_context(bars: DataFrame, context: DataFrame) -> DataFrame:

@@ -110,3 +110,31 @@ def test_positions_over_range_partitions(spark):
     for s, _, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0, r[2])):
         want[i] = seen[s] = seen.get(s, -1) + 1
     assert got == want
+
+
+def test_as_of_with_a_hot_moment(spark, monkeypatch):
+    """Half of all ticks are one symbol's in one second; no chunk has more rows than it may, and nothing is lost."""
+    import barloom.functions.positions as P
+    import barloom.operators.context as C
+
+    monkeypatch.setattr(P, "RUN", 60)
+    monkeypatch.setattr(C, "ROWS", 16)
+    rng = random.Random(6)
+
+    def places(n):
+        for _ in range(n):
+            hot = rng.random() < 0.5
+            at = rng.randrange(10**6) if hot else rng.randrange(10**11)
+            yield "HOT" if hot else rng.choice(["A", None]), START + timedelta(microseconds=at)
+
+    left = [(s, t, i) for i, (s, t) in enumerate(places(400))] + [("A", None, 1000)]
+    right = [(s, t, float(i)) for i, (s, t) in enumerate(dict.fromkeys(places(300)))]
+    a = spark.createDataFrame(left, "symbol string, time timestamp_ntz, seq long")
+    b = spark.createDataFrame(right, "symbol string, time timestamp_ntz, quote double")
+    got = {r.seq: r.quote for r in C.as_of(a, b, ["quote"]).collect()}
+    for s, t, i in left:
+        before = [] if t is None else [(x, q) for r, x, q in right if r == s and x <= t]
+        assert got[i] == (max(before)[1] if before else None)
+    both = a.select("symbol", "time").union(b.select("symbol", "time")).withColumns({"_at": F.col("time"), "_o": F.col("time")})
+    assert C.chunked(both, ["symbol"], None)[0].groupBy("_g").count().agg(F.max("count")).first()[0] <= 16
+    assert C.chunked(both, ["symbol"], "hour")[0].groupBy("_g").count().agg(F.max("count")).first()[0] > 200

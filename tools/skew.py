@@ -15,7 +15,7 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from barloom.functions.series import Series, number_rows  # noqa: E402
-from barloom.operators import technical  # noqa: E402
+from barloom.operators import context, technical  # noqa: E402
 from barloom.session import local_session  # noqa: E402
 from barloom.sources.stage import stage  # noqa: E402
 
@@ -58,6 +58,23 @@ def main():
     w.w = whole.w
     timed("technical windows, whole symbols", technical.windows(w).own())
     timed("averages with carry, blocks", technical.recursive(Series.of(numbered, behind=0)).own())
+    hot_hour(spark, n, k, timed)
+
+
+def hot_hour(spark, n, k, timed):
+    """Trades and quotes of which one symbol has a third in one hour: the largest group of the as-of join."""
+    i = F.col("id")
+    hot = i % 3 == 0
+    when = F.when(hot, F.timestamp_micros((i * 3_600_000_000 / n).cast("long"))).otherwise(F.timestamp_seconds(i * 60))
+    ticks = spark.range(n).select(F.when(hot, "HOT").otherwise(F.concat(F.lit("S"), i % k)).alias("symbol"), when.cast("timestamp_ntz").alias("time"), i.alias("seq"))
+    trades = stage(ticks.filter(i % 2 == 0).withColumn("price", F.lit(1.0)))
+    quotes = stage(ticks.filter(i % 2 == 1).withColumn("quote", F.col("seq") * 1.0))
+    timed("as-of join, hot hour, chunks of rows", context.as_of(trades, quotes, ["quote"]))
+    timed("as-of join, hot hour, chunks of an hour", context.as_of(trades, quotes, ["quote"], chunk="hour"))
+    both = trades.select("symbol", "time").union(quotes.select("symbol", "time")).withColumns({"_at": F.col("time"), "_o": F.col("time")})
+    for chunk in (None, "hour"):
+        groups = context.chunked(both, ["symbol"], chunk)[0].groupBy("_g").count()
+        print(f"largest group, chunk {chunk or 'of rows':38s} {groups.agg(F.max('count')).first()[0]:9d} rows", flush=True)
 
 
 if __name__ == "__main__":
