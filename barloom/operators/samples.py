@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import fdiv
+from barloom.functions.positions import number_sorted
 from barloom.functions.series import Series, number_rows
+from barloom.sources.stage import stage
 
 
 def add_targets(bars: DataFrame, horizons: Sequence[int] = (1, 5, 10), threshold: float = 0.02, **how) -> DataFrame:
@@ -126,28 +128,86 @@ def stock_age_months(n_rows: Column) -> Column:
 
 def symbol_index(df: DataFrame) -> DataFrame:
     """symbol -> dense 0-based index in alphabetical order."""
-    names = df.select("symbol").distinct()
-    # chunks are ranges of about equal size, written so that they stay as they are
-    ranged = names.repartitionByRange("symbol").withColumn("_part", F.spark_partition_id())
-    numbered = number_rows(ranged, key=(), order=["symbol"], chunk=F.col("_part"), staged=True)
+    numbered = number_sorted(df.select("symbol").distinct(), (), ["symbol"])
     return numbered.select("symbol", F.col("_t").cast("int").alias("stock_idx"))
 
 
+#: Hex digits of a hash that parts are counted by, and rows that are put in order at once.
+DIGITS = 3
+FEW = 100_000
+
+
 def split_symbols(df: DataFrame, train: float = 0.8, val: float = 0.1, seed: int = 42) -> DataFrame:
-    """symbol -> split: seeded pseudo-random order (md5 of seed and symbol), exact 80 / 10 / 10 counts."""
+    """symbol -> split: seeded pseudo-random order (md5 of seed and symbol), exact 80 / 10 / 10 counts.
+
+    Only the symbols at the two borders are found, not a rank for each: symbols are counted by the first digits of their hash,
+    and the parts that hold a border by more digits until few are left.
+    """
     seeded = F.md5(F.concat(F.lit(f"{seed}:").cast("binary"), F.coalesce("symbol", F.lit("")).cast("binary")))
-    names = df.select("symbol").distinct().withColumn("_h", seeded)
-    ranked = number_rows(names, key=(), order=["_h", "symbol"], chunk=F.substring("_h", 1, 3))
-    n = names.agg(F.count(F.lit(1)).alias("n")).scalar()
-    n_train, n_val = F.floor(n * train), F.floor(n * val)
-    part = F.when(F.col("_t") < n_train, "train").when(F.col("_t") < n_train + n_val, "val").otherwise("test")
-    return ranked.select("symbol", part.alias("split"))
+    names = stage(df.select("symbol").distinct().withColumn("_h", seeded), "symbols")
+    counts = _counts(names, F.substring("_h", 1, DIGITS))
+    n = sum(counts.values())
+    first = int(n * train)
+    borders = [_border(names, counts, k) for k in (first, first + int(n * val))]
+    # the null symbol has the hash of the empty one and stands before it
+    mine = F.struct("_h", F.coalesce("symbol", F.lit("")).alias("s"), F.col("symbol").isNotNull().alias("k"))
+
+    def before(b):
+        return F.lit(True) if b is None else mine < F.struct(F.lit(b[0]).alias("_h"), F.lit(b[1] or "").alias("s"), F.lit(b[1] is not None).alias("k"))
+
+    part = F.when(before(borders[0]), "train").when(before(borders[1]), "val").otherwise("test")
+    return names.select("symbol", part.alias("split"))
+
+
+def _counts(rows: DataFrame, part: Column) -> dict:
+    """Rows of every part; parts are few whatever the rows."""
+    found = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r.part: r.n for r in sorted(found, key=lambda r: r.part)}
+
+
+def _place(counts: dict, k: int) -> tuple | None:
+    """The part that holds row number k, and the row's number in it."""
+    for part, n in counts.items():
+        if k < n:
+            return part, k
+        k -= n
+    return None
+
+
+def _border(names: DataFrame, counts: dict, k: int) -> tuple | None:
+    """(hash, symbol) of symbol number k in the order of the hashes."""
+    digits, found = DIGITS, _place(counts, k)
+    while found is not None:
+        part, k = found
+        names = names.filter(F.substring("_h", 1, digits) == part)
+        if counts[part] <= FEW or digits >= 32:
+            row = names.orderBy("_h", F.col("symbol").asc_nulls_first()).offset(k).limit(1).first()
+            return row._h, row.symbol
+        digits += DIGITS
+        counts = _counts(names, F.substring("_h", 1, digits))
+        found = _place(counts, k)
+    return None
 
 
 def split_time(df: DataFrame, train: float = 0.8) -> DataFrame:
-    """Add ``split``: rows before the time at the given share of all distinct times are 'train'."""
-    times = df.select("time").distinct()
-    ranked = number_rows(times, key=(), chunk="day")
-    n = times.agg(F.count(F.lit(1)).alias("n")).scalar()
-    cut = ranked.filter(F.col("_t") >= F.floor(n * train)).agg(F.min("time").alias("cut")).scalar()
-    return df.withColumn("split", F.when(F.col("time") < cut, "train").otherwise("val"))
+    """Add ``split``: rows before the time at the given share of all distinct times are 'train', without a time 'val'.
+
+    The time is found by counts: of times per day, then per smaller unit of the one that holds it, until few are left.
+    """
+    times = stage(df.select("time").filter(F.col("time").isNotNull()).distinct(), "times")
+    k, cut = None, None
+    for unit in ("day", "hour", "minute", "second"):
+        part = F.date_trunc(unit, "time")
+        counts = _counts(times, part.cast("string"))
+        if k is None:
+            k = int(sum(counts.values()) * train)
+        found = _place(counts, k)
+        if found is None:
+            break
+        name, k = found
+        times = times.filter(part.cast("string") == name)
+        if counts[name] <= FEW or unit == "second":
+            cut = times.orderBy("time").offset(k).limit(1).select(F.col("time").cast("string")).first()[0]
+            break
+    early = F.lit(True) if cut is None else F.col("time") < F.lit(cut).cast(df.schema["time"].dataType)
+    return df.withColumn("split", F.when(F.col("time").isNotNull() & early, "train").otherwise("val"))

@@ -1,5 +1,7 @@
 """Targets, sequences, labels, splits, statistics and metrics on small fixtures."""
 
+from datetime import datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -166,3 +168,22 @@ def test_portfolio_metrics(spark):
         [got.total_return, got.max_drawdown, got.win_rate, got.sharpe_ratio, got.profit_factor],
         [wealth[-1] - 1, drop, np.mean(r > 0), r.mean() / r.std(ddof=1) * np.sqrt(252), r[r > 0].sum() / -r[r < 0].sum()],
     )
+
+
+def test_borders_by_counts(spark, monkeypatch):
+    """Few rows are ordered at once, so the borders are found over several rounds of counts."""
+    import hashlib
+
+    monkeypatch.setattr(S, "FEW", 2)
+    monkeypatch.setattr(S, "DIGITS", 1)
+    names = [None, "", *(f"S{i}" for i in range(150))]
+    got = {r.symbol: r.split for r in S.split_symbols(spark.createDataFrame([(x,) for x in names * 2], "symbol string"), seed=7).collect()}
+    order = sorted(names, key=lambda s: (hashlib.md5(f"7:{s or ''}".encode()).hexdigest(), s is not None, s or ""))
+    n, a, b = len(names), int(len(names) * 0.8), int(len(names) * 0.1)
+    assert got == {s: "train" if i < a else "val" if i < a + b else "test" for i, s in enumerate(order)} and len(got) == n
+    ts = [datetime(2024, 1, 1) + timedelta(seconds=i * i * 7) for i in range(300)] + [datetime(2024, 1, 1, 0, 0, 0, i) for i in range(1, 9)]
+    df = spark.createDataFrame([(t,) for t in [*ts, *ts, None]], "time timestamp_ntz")
+    for share in (0.0, 0.01, 0.8, 1.0):
+        cut = sorted(ts)[int(len(ts) * share)] if share < 1 else datetime.max
+        rows = S.split_time(df, share).collect()
+        assert all(r.split == ("train" if r.time is not None and r.time < cut else "val") for r in rows) and len(rows) == 617
