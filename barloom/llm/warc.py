@@ -2,8 +2,10 @@
 
 Writing: records are built in Arrow batches and leave through Spark's text writer, whose line end is the last byte of
 every member (always zero), so files go through the commit protocol to any file system Spark knows.
-Reading: whole archives arrive by the ``binaryFile`` source. Where a member or record fails its checks the reader looks
-for the next valid member or version line, goes on there and reports the byte gap.
+Reading: whole archives arrive by the ``binaryFile`` source, so an archive is below 2 GB (``write_archives`` aims at 8 MB); members are
+inflated piece by piece, in time proportional to the archive and with one record at a time in memory. Where a member or record
+fails its checks the reader looks for the next valid member or version line, goes on there and reports the byte gap: in the file,
+and in the inflated bytes of a member of which other records are good, also of one that is damaged or cut off itself.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ END = b"\r\n\r\n"
 ARCHIVE_BYTES = 8 << 20
 #: A member that holds nothing: its last byte is zero whatever came before.
 EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
-RECORDS = "kind string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long, reason string"
+RECORDS = "kind string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, offset long, length long, inner_offset long, inner_length long, checked boolean, reason string"
 
 
 def base32_sha1(data: bytes) -> str:
@@ -103,12 +105,38 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, archive_bytes: i
     files.text(path)
 
 
+#: Bytes that are inflated at once: the first piece, doubled up to the largest.
+PIECES = (1 << 12, 1 << 16)
+#: A record's head is no longer than this.
+HEAD = 1 << 20
+VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+
+
 @dataclass
-class Record:
+class Gap:
+    """Bytes that were passed over; ``inner`` and ``inner_length`` are set for those inside the inflated member at ``offset``."""
+
     offset: int
     length: int
+    reason: str
+    inner: int | None = None
+    inner_length: int | None = None
+
+
+@dataclass
+class Record:
+    """A record with its place in the file: of its member where it is alone in one, and else its place inside the member too."""
+
+    offset: int
+    length: int | None
     headers: dict[str, str]
     block: bytes
+    inner: int | None = None
+
+    @property
+    def checked(self) -> bool:
+        """Whether the record has a digest of its block, which then holds; one without may come from damaged bytes."""
+        return self.headers.get("warc-block-digest", "").startswith("sha1:")
 
     @property
     def payload(self) -> bytes:
@@ -135,8 +163,8 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     end = data.find(END, at)
     if end < 0:
         raise Damaged("head without end")
-    headers = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    headers: dict[str, str] = {}
+    for line in bytes(data[at:end]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("bad header line")
@@ -157,50 +185,151 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     return found, stop + 4
 
 
-def _members(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member at ``at`` and the place behind it."""
-    unpack = zlib.decompressobj(31)
-    try:
-        plain = unpack.decompress(data[at:] if len(data) - at < 1 << 16 else memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(f"member fails: {e}") from None
-    if not unpack.eof:
-        raise Damaged("member without end")
-    after, out, p = len(data) - len(unpack.unused_data), [], 0
-    while p < len(plain):
-        found, p = parse_record(plain, p)
-        out.append(Record(at, after - at, found.headers, found.block))
-    return out, after
+class _Member:
+    """The gzip member at a place of an archive, inflated piece by piece."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.place, self.size = memoryview(data), at, at, PIECES[0]
+        self.unpack, self.ended, self.error = zlib.decompressobj(31), False, None
+
+    def pull(self) -> bytes:
+        """The next inflated bytes; none at the end. Before an error all comes that could still be inflated."""
+        while not self.ended:
+            piece = self.data[self.place : self.place + self.size]
+            if not piece:
+                self.ended, self.error = True, "member without end"
+                break
+            try:
+                out = self.unpack.decompress(piece)
+            except zlib.error as e:
+                self.ended, self.error = True, f"member fails: {e}"
+                return self._until_error(piece)
+            self.place += len(piece)
+            self.size = min(2 * self.size, PIECES[1])
+            if self.unpack.eof:
+                self.ended = True
+                self.place -= len(self.unpack.unused_data)
+            if out:
+                return out
+        return b""
+
+    def _until_error(self, piece: memoryview) -> bytes:
+        again, out = zlib.decompressobj(31), []
+        for a in range(self.at, self.place, PIECES[1]):
+            again.decompress(self.data[a : min(a + PIECES[1], self.place)])
+        try:
+            for i in range(len(piece)):
+                out.append(again.decompress(piece[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out)
+
+
+def _needed(buffer: bytearray) -> int:
+    """Bytes from which on it can be told whether a record is at the start."""
+    if len(buffer) < 16:
+        return 16
+    if not VERSION_LINE.match(buffer):
+        return 0
+    end = buffer.find(END, 0, HEAD)
+    if end < 0:
+        return len(buffer) + 1 if len(buffer) < HEAD else 0
+    said = re.search(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n", buffer[: end + 2])
+    return end + 2 * len(END) + int(said[1]) if said else 0
+
+
+def _inside(member: _Member) -> Iterator[Record | Gap]:
+    """Records of a member and gaps of its inflated bytes, each as soon as it is known; they have no length yet."""
+    buffer, base, bad, reason = bytearray(), 0, None, ""
+    while True:
+        while len(buffer) < _needed(buffer) and not member.ended:
+            buffer += member.pull()
+        if not buffer:
+            if member.ended:
+                break
+            buffer += member.pull()
+            continue
+        try:
+            found, stop = parse_record(buffer, 0)
+        except Damaged as e:
+            if bad is None:
+                bad, reason = base, str(e)
+            next_line = VERSION_LINE.search(buffer, 1)
+            stop = next_line.start() if next_line else len(buffer) if member.ended else max(0, len(buffer) - 15)
+            if not stop:
+                buffer += member.pull()
+        else:
+            if bad is not None:
+                yield Gap(member.at, 0, reason, bad, base - bad)
+                bad = None
+            yield Record(member.at, None, found.headers, bytes(found.block), base)
+        del buffer[:stop]
+        base += stop
+    if bad is not None:
+        yield Gap(member.at, 0, reason, bad, base - bad)
+    if member.error:
+        yield Gap(member.at, 0, member.error, base, None)
 
 
-def salvage(data: bytes) -> Iterator[Record | tuple[int, int, str]]:
-    """Records of an archive, compressed or plain, and gaps (offset, length, reason) where checks fail.
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Records of an archive, compressed or plain, and gaps where checks fail.
 
     After a failure the next place is tried where a member or a version line may begin, until one is valid; the bytes
-    in between are one gap. An empty archive has neither.
+    in between are one gap. A member is valid if it can be inflated whole and its records pass, or if any record in it
+    passes; then what fails are gaps inside it. An empty archive has neither.
     """
     at, bad, reason = 0, None, ""
     begins = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d\r\n")
     while at < len(data):
-        try:
-            if data.startswith(MAGIC, at):
-                found, after = _members(data, at)
-            else:
+        if data.startswith(MAGIC, at):
+            member = _Member(data, at)
+            held, valid, inner, sure = [], False, [], at
+            for x in _inside(member):
+                if isinstance(x, Gap):
+                    inner.append(x)
+                    continue
+                if not valid and bad is not None:
+                    yield Gap(bad, at - bad, reason)
+                    bad = None
+                if valid:  # not alone in its member
+                    yield from held
+                    held = []
+                valid, sure = True, max(sure, member.place - member.size)
+                held.append(x)
+            if member.error is None and not inner or valid:
+                if bad is not None:
+                    yield Gap(bad, at - bad, reason)
+                    bad = None
+                after = member.place
+                if member.error:  # the next member may begin before the place where inflating failed
+                    found = data.find(MAGIC, max(at + 1, sure))
+                    after = found if found >= 0 else len(data)
+                for x in held:
+                    alone = x.inner == 0
+                    yield Record(at, after - at if alone else None, x.headers, x.block, None if alone else x.inner)
+                for x in inner:
+                    yield Gap(at, after - at, x.reason, x.inner, x.inner_length)
+                at = after
+                continue
+            problem = inner[0].reason if member.error is None else member.error
+        else:
+            try:
                 one, after = parse_record(data, at)
-                found = [one]
-        except Damaged as e:
-            if bad is None:
-                bad, reason = at, str(e)
-            m = begins.search(data, at + 1)
-            at = m.start() if m else len(data)
-            continue
-        if bad is not None:
-            yield bad, at - bad, reason
-            bad = None
-        yield from found
-        at = after
+            except Damaged as e:
+                problem = str(e)
+            else:
+                if bad is not None:
+                    yield Gap(bad, at - bad, reason)
+                    bad = None
+                yield one
+                at = after
+                continue
+        if bad is None:
+            bad, reason = at, problem
+        m = begins.search(data, at + 1)
+        at = m.start() if m else len(data)
     if bad is not None:
-        yield bad, len(data) - bad, reason
+        yield Gap(bad, len(data) - bad, reason)
 
 
 def _page(uri: str | None) -> int | None:
@@ -209,22 +338,32 @@ def _page(uri: str | None) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
-    """Records (kind ``record``) and quarantined byte ranges (kind ``gap``: offset, length, reason) of all archives."""
+    """Records (kind ``record``) and quarantined byte ranges (kind ``gap``: offset, length, reason) of all archives.
+
+    ``length`` is null for a record that shares its member; it and a gap inside a member have their place in the inflated bytes in
+    ``inner_offset``, and ``inner_length`` is null for a member whose rest cannot be inflated. ``checked`` tells whether a record had a
+    digest that held. Archives below 2 GB each;
+    empty files and folders give no rows, empty payloads are records, equal records all come back.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
+                rows, held = [], 0
                 for x in salvage(content.as_py() or b""):
-                    if isinstance(x, tuple):
-                        rows.append({"file": name, "kind": "gap", "offset": x[0], "length": x[1], "reason": x[2]})
+                    if isinstance(x, Gap):
+                        rows.append({"file": name, "kind": "gap", "offset": x.offset, "length": x.length, "inner_offset": x.inner, "inner_length": x.inner_length, "reason": x.reason})
                         continue
                     h = x.headers
-                    row = {"file": name, "kind": "record", "page_id": _page(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "refers_to": _page(h.get("warc-refers-to")), "payload_bytes": x.payload_bytes, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "offset": x.offset, "length": x.length}
+                    row = {"file": name, "kind": "record", "page_id": _page(h.get("warc-record-id")), "url": h.get("warc-target-uri"), "record_type": h.get("warc-type"), "refers_to": _page(h.get("warc-refers-to")), "payload_bytes": x.payload_bytes, "payload_digest": h.get("warc-payload-digest", "").removeprefix("sha1:"), "offset": x.offset, "length": x.length, "inner_offset": x.inner, "checked": x.checked}
                     rows.append(row | ({"payload": x.payload} if payload else {}))
+                    held += len(x.block) if payload else 0
+                    if len(rows) >= 4096 or held > 32 << 20:
+                        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                        rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = "file string, " + RECORDS + ", payload binary" * payload
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])
     files = spark.read.format("binaryFile").load(path).select("path", "content")
