@@ -34,6 +34,20 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """Whole rows in one column ``_row``, and the named columns again with a ``_`` before their names.
+
+    Whatever a caller's columns are called, they do not meet those of a join.
+    """
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), *(F.col(c).alias(f"_{c}") for c in names))
+
+
+def unpacked(df: DataFrame, like: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``like`` out of ``_row``, and further ones, which replace those of their names."""
+    new = df.select(*more).columns if more else []
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in like.columns if c not in new), *more)
+
+
 def left_join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, row_id: Column) -> DataFrame:
     """Left join with a table of unique keys, where one key may hold a large share of ``rows``.
 

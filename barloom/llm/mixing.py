@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import left_join_hot, n_words
+from barloom.llm.common import left_join_hot, n_words, packed, unpacked
 from barloom.sources.stage import stage
 
 #: Documents of a block, on average.
@@ -137,12 +137,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def take(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents the mix takes, with ``copies`` and ``taken`` (in place of columns of these names); untaken ones go.
 
-    Rows alike in key and text share one draw, the larger.
+    Rows alike in key and text share one draw, the larger; null and empty texts are not taken; a null id is an id of its own; no
+    rows give no rows. Other columns stay as they are, whatever they are called.
     """
-    same = F.xxhash64("text")
-    drawn = mix(docs.withColumn("_same", same), weights, share, most, keep=("doc_id", "_same"))
+    same = F.xxhash64("text").alias("_same")
+    drawn = mix(docs.select("doc_id", "source", "text", same), weights, share, most, keep=("doc_id", "_same"))
     drawn = drawn.filter("copies > 0").groupBy("doc_id", "_same").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"))
-    left = docs.withColumn("_same", same)
-    on = left["doc_id"].eqNullSafe(drawn["doc_id"]) & left["_same"].eqNullSafe(drawn["_same"])
-    own = [left[c] for c in docs.columns if c not in ("copies", "taken")]
-    return left.join(drawn, on).select(*own, drawn["copies"], drawn["taken"])
+    rows = packed(docs, "doc_id", "text")
+    on = F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("_text") == F.col("_same"))
+    return unpacked(rows.join(drawn, on), docs, F.col("copies"), F.col("taken"))

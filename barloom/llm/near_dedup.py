@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.arrays import U, mix64, word_hashes
-from barloom.llm.common import left_join_hot, texts_of
+from barloom.llm.common import left_join_hot, packed, texts_of, unpacked
 from barloom.sources.stage import stage
 
 #: Registers in bands of ROWS: a pair of similarity 0.8 shares no band with a probability of about 1e-7.
@@ -367,10 +367,14 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
 
 def clean(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one row of each near-duplicate component: that with the smallest id, of rows alike one."""
+    """The documents with one row of each near-duplicate component: that with the smallest id, of rows alike one.
+
+    Null and empty texts have no shingles and stay; texts of fewer than ``size`` words are their whole sequence; a null id counts as larger than
+    all others. All columns stay as they are, whatever they are called; no rows give no rows.
+    """
     rows = near_components(docs, size, percent).filter(F.col("node").isNull() | F.col("doc_id").eqNullSafe(F.col("smallest")))
     keep = rows.groupBy(F.col("doc_id").alias("_k"), F.col("text_hash").alias("_t")).agg(F.count(F.lit(1)).alias("_times"), F.max("node").alias("_node"))
-    left = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    found = left.join(stage(keep, "near-keep"), F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_t")))
+    rows = packed(docs, "doc_id", "text").withColumn("_doc_id", F.col("_doc_id").cast("long")).withColumn("_text", F.xxhash64("_text"))
+    found = rows.join(stage(keep, "near-keep"), F.col("_doc_id").eqNullSafe(F.col("_k")) & (F.col("_text") == F.col("_t")))
     alike = (F.col("_times") > 1) & F.col("_node").isNotNull()
-    return found.filter(~alike).unionByName(found.filter(alike).dropDuplicates(["_id", "_hash"])).select(*docs.columns)
+    return unpacked(found.filter(~alike).unionByName(found.filter(alike).dropDuplicates(["_doc_id", "_text"])), docs)

@@ -38,17 +38,25 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_r
 FROM w LEFT JOIN r USING (doc_id)
 """
 
+#: Runs of 3 lines, and of fewer lines with 13 words, that start in an earlier place.
 LINES = rf"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT doc_id, p, ls[p] AS x FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p FROM l)),
-s AS (SELECT doc_id, p, x, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM e WHERE regexp_matches(x, '{WORD}')),
-atoms AS (
-  SELECT doc_id, p, i, x || chr(10) || lead(x) OVER w || chr(10) || lead(x, 2) OVER w AS k FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-{_COVER.format(order="{'d': doc_id, 'i': i}", back=2).strip()},
+s AS (SELECT doc_id, p, x, len(regexp_extract_all(x, '{WORD}')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM e WHERE regexp_matches(x, '{WORD}')),
+t AS (
+  SELECT *, x || chr(10) || lead(x) OVER o AS x2, w + lead(w) OVER o AS w2, x || chr(10) || lead(x) OVER o || chr(10) || lead(x, 2) OVER o AS x3
+  FROM s WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (
+  SELECT doc_id, i, 1 AS n, x AS k FROM t WHERE w >= 13 UNION ALL SELECT doc_id, i, 2, x2 FROM t WHERE w2 >= 13
+  UNION ALL SELECT doc_id, i, 3, x3 FROM t WHERE x3 IS NOT NULL),
+least AS (SELECT k, min({{'d': doc_id, 'i': i}}) AS m FROM runs GROUP BY k),
+gone AS (
+  SELECT DISTINCT doc_id, i + o AS i FROM runs JOIN least USING (k), range(0, 3) r(o) WHERE m < {{'d': doc_id, 'i': i}} AND o < n),
+c AS (SELECT s.*, gone.i IS NOT NULL AS gone FROM s LEFT JOIN gone ON gone.doc_id = s.doc_id AND gone.i = s.i),
 r AS (
   SELECT e.doc_id, count(c.i) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
          coalesce(string_agg(e.x, chr(10) ORDER BY e.p) FILTER (WHERE NOT coalesce(gone, false)), '') AS kept
-  FROM e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
+  FROM e LEFT JOIN c ON e.doc_id = c.doc_id AND e.p = c.p GROUP BY e.doc_id)
 SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, md5(kept) AS kept_md5 FROM r
 """
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +42,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # one query's files; the others do without
+
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -55,7 +56,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.remove_lines(table(spark, sf_dir, "documents"), words=line_dedup.WORDS)
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.encode("kept", "UTF-8")).alias("kept_md5"))
 
 
