@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.positions import sorted_runs
 from barloom.functions.series import group_of
+from barloom.sources.stage import stage
 
 #: Rows of a key that meet in one task where no calendar unit bounds them.
 ROWS = 4096
@@ -103,8 +104,12 @@ def join_sentiment(bars: DataFrame, sentiment: DataFrame, keys: Sequence[str] =
 
 
 def training_features(bars: DataFrame, context: DataFrame, sentiment: DataFrame | None = None) -> DataFrame:
-    """Bars, market context and sentiment in one table; context columns carried forward per symbol."""
+    """Bars, market context and sentiment in one table; context columns carried forward per symbol.
+
+    The joined rows are written, since filling reads them twice.
+    """
+    names = [c for c in context.columns if c != "time"]
     out = join_context(bars, context)
     if sentiment is not None:
         out = join_sentiment(out, sentiment)
-    return forward_fill(out, [c for c in context.columns if c != "time"])
+    return forward_fill(stage(out, "joined"), names)

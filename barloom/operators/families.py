@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import finite
 from barloom.functions.series import Series
 from barloom.operators import flow, proxy, technical
+from barloom.sources.stage import stage
 
 PRICE = technical.FEATURES
 SENTIMENT = proxy.FEATURES
@@ -22,10 +23,14 @@ FAMILIES = {"price": PRICE, "sentiment": SENTIMENT, "institutional": INSTITUTION
 
 
 def add_all(bars: DataFrame, market: DataFrame | None = None, **how) -> DataFrame:
-    """Technical, sentiment and flow families in one pass over the blocks, with a single carry."""
+    """Technical, sentiment and flow families in one pass over the blocks, with a single carry.
+
+    With a market series its relative columns are matched first, and the matched rows written: the blocks and their carry read
+    them twice.
+    """
     if market is not None:
         relative = proxy.relative_to_market(bars, market, **how)
-        bars = bars.join(relative, ["symbol", "time"], "left")
+        bars = stage(bars.join(relative, ["symbol", "time"], "left"), "matched")
     s = Series.of(bars, behind=technical.BEHIND, **how)
     s = flow.windows(proxy.windows(technical.windows(s)))
     s = s.accumulate({**technical.specs(), **flow.specs()})

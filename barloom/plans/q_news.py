@@ -15,6 +15,7 @@ from barloom.plans.q_reference import _q, _values
 from barloom.plans.registry import final, query
 from barloom.plans.sqltext import W, chg, lag, over, roll
 from barloom.sources import graph_records as G
+from barloom.sources.stage import new_path
 
 HASHED = f"""{V.ARTICLES}, h AS (SELECT *, substr(md5(concat(title, url)), 1, 16) AS hash,
   list_position(['reuters', 'bloomberg', 'wsj', 'cnbc', 'benzinga', 'seekingalpha', 'motleyfool', 'unknown'], source) AS source_rank FROM articles),
@@ -34,9 +35,11 @@ def article_dedupe(spark, sf):
 
 @query(f"WITH {HASHED} SELECT source, count(*) AS n, min(article_id) AS first_id FROM h GROUP BY 1")
 def source_fan_in(spark, sf):
-    """Several landed sources as one table."""
-    a = V.articles(spark, sf)
-    parts = [a.filter(F.col("source") == s).drop("confidence" if i else "url") for i, s in enumerate(V.SOURCE_NAMES)]
+    """Several landed sources as one table: a folder for each, with different columns."""
+    path = new_path(spark, "sources")
+    V.articles(spark, sf).withColumn("name", F.col("source")).write.partitionBy("name").parquet(path)
+    landed = V.articles(spark, sf).schema
+    parts = [spark.read.schema(landed).parquet(f"{path}/name={s}").drop("confidence" if i else "url") for i, s in enumerate(V.SOURCE_NAMES)]
     return N.fan_in(*parts).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("article_id").alias("first_id"))
 
 

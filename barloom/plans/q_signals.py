@@ -14,7 +14,7 @@ from barloom.plans.q_flow import FLOW
 from barloom.plans.registry import final, query
 from barloom.plans.sqltext import W, b, chg, clip, div, lag, over, roll
 from barloom.sources import messages as MS
-from barloom.sources.stage import layer
+from barloom.sources.stage import layer, stage
 
 FACTORS = ("momentum_5", "momentum_20", "volume_ratio", "bb_position", "news_sentiment")
 FACTOR_SQL = f"""{V.WEEKLY}, {V.ARTICLES},
@@ -198,8 +198,8 @@ def _orders(spark, sf):
 
 
 def _validated(spark, sf):
-    o = _orders(spark, sf)
-    ex = SG.exposures(o)
+    o = layer(spark, "orders", sf, lambda: _orders(spark, sf))
+    ex = stage(SG.exposures(o), "exposures")  # a row per portfolio and sector
     p = F.col("portfolio")
     pf = ex.select("portfolio", "total_exposure").distinct().select(
         "portfolio",
