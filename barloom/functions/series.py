@@ -178,7 +178,7 @@ class Series:
 
         decay 1 gives a running total, below 1 a recursive average. Inside a block the recursion is
         one cumulative window; the carry is what the preceding blocks contribute: a running total
-        of block sums for decay 1, else the few last blocks that still weigh more than 1e-16.
+        of block sums for decay 1 (``scan_blocks``), else the few last blocks that still weigh more than 1e-16 (``_carried``).
         Results are defined on own rows only. Positions may be missing (a filtered stored layer): a block's
         contribution is read at its last own row, and blocks without rows are passed over.
         """
@@ -194,22 +194,13 @@ class Series:
         frame = self.df.withColumns(local)
         own = frame.filter("_own").groupBy("_key", "_blk")
         ends = own.agg(F.max("_t").alias("_end"), *(F.max_by(n, "_t").alias(n) for n in local))
-        blocks = Window.partitionBy("_key").orderBy("_blk")
-        left = F.col("_blk") * self.size + self.size - 1 - F.col("_end")  # rows from the last own row to the block's end
-        carry = []
-        for name, (_, decay) in specs.items():
-            end = f"_{name}_in"
-            if decay == 1:
-                total = F.sum(end).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
-            else:
-                reach = max(1, math.ceil(37 / (-math.log(decay) * self.size)))
-                ends = ends.withColumn(end, F.coalesce(end, F.lit(0.0)) * F.pow(F.lit(decay), left))
-                total = F.lit(0.0)
-                for k in range(1, reach + 1):
-                    gap = (F.col("_blk") - F.lag("_blk", k).over(blocks) - 1) * self.size
-                    total = total + F.coalesce(F.lag(end, k).over(blocks) * F.pow(F.lit(decay), gap), F.lit(0.0))
-            carry.append(total.alias(f"_{name}_carry"))
-        joined = frame.join(ends.select("_key", "_blk", *carry), ["_key", "_blk"], "left")
+        decaying = {n: decay for n, (_, decay) in specs.items() if decay < 1}
+        carry = _carried(ends, decaying, self.size) if decaying else None
+        totals = [f"_{n}_in" for n in specs if n not in decaying]
+        if totals:
+            sums = scan_blocks(ends, {n: n.removesuffix("_in") + "_carry" for n in totals}, F.sum)
+            carry = sums if carry is None else carry.join(sums, ["_key", "_blk"], "full")
+        joined = frame.join(carry, ["_key", "_blk"], "left")
         outs = {}
         for name, (_, decay) in specs.items():
             brought = F.coalesce(F.col(f"_{name}_carry"), F.lit(0.0))
@@ -223,14 +214,46 @@ class Series:
         """Add the largest value of ``c`` so far: inside the block, and over the blocks before it."""
         frame = self.df.withColumn("_v", F.when(F.col("_own"), F.col(c)))
         tops = frame.filter("_own").groupBy("_key", "_blk").agg(F.max("_v").alias("_top"))
-        earlier = Window.partitionBy("_key").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-        before = tops.select("_key", "_blk", F.max("_top").over(earlier).alias("_before"))
+        before = scan_blocks(tops, {"_top": "_before"}, F.max)
         inside = F.max("_v").over(self.w.rowsBetween(Window.unboundedPreceding, 0))
         out = frame.withColumn("_in", inside).join(before, ["_key", "_blk"], "left")
         out = out.withColumn(name, F.greatest("_in", "_before")).drop("_v", "_in", "_before")
         return self._with(out)
 
 
+def _carried(ends: DataFrame, decays: dict[str, float], size: int) -> DataFrame:
+    """What earlier blocks add to the recursive averages of a block, as at the position before it.
+
+    A block weighs more than 1e-16 in a few blocks after it only; it is sent to those and summed up there.
+    """
+    reach = {n: max(1, math.ceil(37 / (-math.log(d) * size))) for n, d in decays.items()}
+    left = F.col("_blk") * size + size - 1 - F.col("_end")  # rows from the last own row to the block's end
+    ends = ends.withColumns({f"_{n}_in": F.coalesce(f"_{n}_in", F.lit(0.0)) * F.pow(F.lit(d), left) for n, d in decays.items()})
+    sent = ends.withColumn("_after", F.explode(F.sequence(F.lit(1), F.lit(max(reach.values())))))
+    aged = {n: F.when(F.col("_after") <= reach[n], F.col(f"_{n}_in") * F.pow(F.lit(d), (F.col("_after") - 1) * size)) for n, d in decays.items()}
+    sent = sent.select("_key", (F.col("_blk") + F.col("_after")).alias("_blk"), *(x.alias(f"_{n}_carry") for n, x in aged.items()))
+    return sent.groupBy("_key", "_blk").agg(*(F.sum(f"_{n}_carry").alias(f"_{n}_carry") for n in decays))
+
+
+#: Blocks whose summaries meet in one task; groups of so many blocks have a summary themselves.
+GROUP = 1024
+
+
+def scan_blocks(ends: DataFrame, names: dict[str, str], agg) -> DataFrame:
+    """_key, _blk and, for every name -> output, the sum or maximum (``agg``) over the key's blocks before.
+
+    In two levels: over the blocks before in a group of blocks, and over the groups before.
+    """
+    ends = ends.withColumn("_grp", F.floor(F.col("_blk") / GROUP))
+    before = lambda *part: Window.partitionBy(*part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ends.select("_key", "_blk", "_grp", *(agg(n).over(before("_key", "_grp", "_blk")).alias(f"{n}_1") for n in names))
+    groups = ends.groupBy("_key", "_grp").agg(*(agg(n).alias(n) for n in names))
+    above = groups.select("_key", "_grp", *(agg(n).over(before("_key", "_grp")).alias(f"{n}_2") for n in names))
+    both = inside.join(above, ["_key", "_grp"])
+    add = (lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) if agg is F.sum else F.greatest
+    return both.select("_key", "_blk", *(add(F.col(f"{n}_1"), F.col(f"{n}_2")).alias(out) for n, out in names.items()))
+
+
 def ewm_term(c: str, alpha: float, start: int = 0) -> tuple[Column, float]:
     """Term and decay of the recursive average seeded with the value at position ``start``."""
     x, t = F.col(c), F.col("_t")

@@ -50,6 +50,7 @@ def test_small_blocks(spark, sf, con, name, monkeypatch):
     import barloom.functions.series as series
 
     monkeypatch.setattr(series, "SIZE", 48)
+    monkeypatch.setattr(series, "GROUP", 4)
     df = QUERIES[name](spark, sf)
     cur = con.execute(ORACLES[name])
     names = [d[0] for d in cur.description]
