@@ -88,8 +88,8 @@ def graph_files(spark, sf):
     return G.read_graph_records(spark, path).select(doc_id, "date", "url", "tone", F.size("themes").alias("n_themes"))
 
 
-@query(f"""WITH c AS (SELECT concat('C', c_custkey) AS symbol, c_acctbal * 30000000 AS market_cap FROM customer)
-    SELECT {CAP} AS tier, count(*) AS n, count(*) AS n_listed, count(DISTINCT symbol) AS n_symbols, min(symbol) AS first, max(symbol) AS last FROM c GROUP BY 1""")
+@query(f"""WITH c AS (SELECT c_custkey AS k, concat('C', c_custkey) AS symbol, c_acctbal * 30000000 AS market_cap FROM customer)
+    SELECT {CAP} AS tier, count(*) AS n, count(*) AS n_listed, count(DISTINCT symbol) AS n_symbols, min(k) AS first, max(k) AS last FROM c GROUP BY 1""")
 def manifest_files(spark, sf):
     """Manifests of all customers' cap tiers written and read back: counts, the summary and the symbol lists agree."""
     path = new_path(spark, "manifest")
@@ -98,8 +98,9 @@ def manifest_files(spark, sf):
     BS.write_manifest(tiers.groupBy("tier").agg(F.count(F.lit(1)).alias("n")), tiers, path)
     counts = spark.read.schema("tier string, n long").json(f"{path}/counts")
     summary = spark.read.schema("tier string, n long").option("header", True).csv(f"{path}/summary")
+    number = F.substring("value", 2, 20).cast("long")
     lists = spark.read.schema("value string, tier string").text(f"{path}/symbols").groupBy("tier")
-    listed = lists.agg(F.count(F.lit(1)).alias("n_listed"), F.countDistinct("value").alias("n_symbols"), F.min("value").alias("first"), F.max("value").alias("last"))
+    listed = lists.agg(F.count(F.lit(1)).alias("n_listed"), F.countDistinct("value").alias("n_symbols"), F.min(number).alias("first"), F.max(number).alias("last"))
     return counts.join(summary, ["tier", "n"]).join(listed, "tier")
 
 
