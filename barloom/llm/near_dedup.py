@@ -6,8 +6,8 @@ similarity, since the base is close to 1. Bands of registers name candidates; th
 sets' registers and sizes rules out what is far below the threshold; the full sets decide.
 
 Documents with equal sets are one node. In every band bucket all nodes are first tested against one of them, so a
-bucket of k nodes costs k tests. Only where the nodes of a bucket are not all connected then are they compared further,
-in blocks, and there only nodes of different components. No link between components is lost, no group is expanded.
+bucket of k nodes costs k tests. Only where the nodes of a bucket are not all connected then are those beside its
+largest component compared with the others, in blocks. No link between components is lost, no group is expanded.
 """
 
 from __future__ import annotations
@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from barloom.llm.arrays import U, mix64, word_hashes
+from barloom.llm.arrays import U, mix64, offsets_of, ragged, word_hashes
 from barloom.llm.common import left_join_hot, packed, texts_of, unpacked
 from barloom.sources.stage import stage
 
@@ -29,8 +29,8 @@ REGISTERS = ROWS * BANDS
 BASE, RATE, TOP = 1.001, 20.0, 65534
 #: Standard deviations of the estimate below the threshold from which on a pair is not confirmed.
 SLACK = 5.0
-#: Nodes of a block where buckets are compared within themselves.
-BLOCK = 2048
+#: Nodes of a block, and items of their sets, where torn groups are compared.
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
 #: Rows of two or three longs that may be broadcast: 24 MB.
 BROADCAST_ROWS = 1 << 20
 #: Hashes looked at at once; they stay in a core's cache.
@@ -204,18 +204,19 @@ def components(edges: DataFrame) -> DataFrame:
         least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         return left_join_hot(links, least, "u", "n", total, F.xxhash64("v")).withColumn("m", F.least("u", "m"))
 
-    def seen(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(links: DataFrame) -> tuple[DataFrame, tuple]:
+        """The links as a table, their number and a sum of their hashes, taken while they are written."""
+        seen = Observation()
+        links = stage(links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "near-links")
+        return links, (seen.get["n"], seen.get["sum"])
 
-    links = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "near-links")
-    before = seen(links)
+    links, before = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = stage(star(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "near-large")
         small = star(large, before[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        links = stage(small.filter("u != v").distinct(), "near-links")
-        after = seen(links)
+        links, after = written(small.filter("u != v").distinct())
         if after == before:
             break
         before = after
@@ -242,81 +243,126 @@ class Sets:
         return a != b
 
 
-def _meet(rows: pa.Table, one: int, two: int, percent: int, accept) -> tuple[list[int], list[int]]:
-    """Pairs that join components of a block pair, a forest at most: plausible by their registers, and ``accept``ed."""
-    node, root, n, block = (rows.column(c).to_numpy() for c in ("node", "root", "n", "block"))
-    regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+def _meet(rows: pa.Table, linked) -> tuple[list[int], list[int]]:
+    """Pairs that join components, a forest at most: a row of the left block with rows of the right block.
+
+    ``linked``: for a row and candidate rows of the right block, which of them join. A pair of two left rows is seen once.
+    """
+    node, root, left, few = (rows.column(c).to_numpy() for c in ("node", "root", "is_left", "few"))
     sets, found = Sets(root), ([], [])
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    least = REGISTERS * (percent / 100 - SLACK * np.sqrt(0.16 / REGISTERS) - 0.05)  # few pairs need the likelihood
-    for i in left:
-        j = right[(root[right] != root[i]) & ((node[right] > node[i]) | (one != two))]
-        j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
-        j = j[(regs[j] == regs[i]).sum(1) >= least]
+    right = np.flatnonzero(~left)
+    for i in np.flatnonzero(left):
+        j = right[(root[right] != root[i]) & (~few[right] | (node[right] > node[i]))]
         if not len(j):
             continue
-        j = j[plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
-        for k in j:
-            if sets.top(int(root[i])) != sets.top(int(root[k])) and accept(i, k):
-                sets.join(int(root[i]), int(root[k]))
-                found[0].append(int(min(node[i], node[k])))
-                found[1].append(int(max(node[i], node[k])))
+        for k in linked(i, j):
+            if sets.join(int(root[i]), int(root[k])):
+                found[0].append(i)
+                found[1].append(k)
     return found
 
 
-def _dealt_in_blocks(members: DataFrame, group: str, sizes: DataFrame, total: int) -> DataFrame:
-    """Rows of a group (``sizes``: group, k, blocks) for every pair of its blocks: (group, one, two) meet in a task."""
-    dealt = left_join_hot(members, sizes, group, "k", total, F.xxhash64("node")).filter("blocks IS NOT NULL").drop("k")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return meets.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("blocks", "other")
+def _torn(members: DataFrame, group: str) -> DataFrame:
+    """Groups with several components: their number of rows, largest component and numbers of left and right blocks.
+
+    ``members`` has ``n``, the items that a row brings to a task. The largest component is inside already; only the nodes beside
+    it are compared, with all nodes of the group.
+    """
+    parts = members.groupBy(group, "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    tops = parts.groupBy(group).agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max("k").alias("top_k"), F.max_by("n", "k").alias("top_n"), F.max_by("root", "k").alias("top"), F.count(F.lit(1)).alias("roots"))
+
+    def blocks(rows: Column, items: Column) -> Column:
+        return F.ceil(rows / BLOCK + items / BLOCK_ITEMS).cast("int")
+
+    lefts = blocks(F.col("k") - F.col("top_k"), F.col("n") - F.col("top_n"))
+    return tops.filter("roots > 1").select(group, "k", "top", lefts.alias("lefts"), blocks(F.col("k"), F.col("n")).alias("rights"))
 
 
-def _blocks() -> Column:
-    return F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")
+def _dealt_in_blocks(members: DataFrame, group: str, torn: DataFrame, total: int) -> DataFrame:
+    """Rows of torn groups for their tasks (group, l, r): the left block's nodes, beside the largest component, and the
+    right block's, of all nodes. A row is sent to as many tasks as the other side has blocks."""
+    dealt = left_join_hot(members, torn, group, "k", total, F.xxhash64("node")).filter("top IS NOT NULL").drop("k", "n")
+    dealt = dealt.withColumn("few", F.col("root") != F.col("top")).withColumn("at", F.xxhash64("node"))
+    one = dealt.filter("few").withColumn("l", F.pmod("at", "lefts").cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rights") - 1)))
+    two = dealt.withColumn("l", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("r", F.pmod("at", "rights").cast("int"))
+    both = one.withColumn("is_left", F.lit(True)).unionByName(two.withColumn("is_left", F.lit(False)))
+    return both.drop("top", "lefts", "rights", "at")
 
 
 def more_links(buckets: DataFrame, docs: DataFrame, nodes: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components that the stars have not found; enough of them to join what is linked.
 
     Components with plausible pairs in one bucket form clusters (of such pairs a forest travels). The nodes of a cluster
-    then meet in blocks with their full sets, where pairs of components not joined yet are tested one by one. So
-    neither candidates nor links are expanded into all pairs.
+    then meet with their full sets. Both times only the nodes beside the largest component are compared with
+    the others, so a group of k nodes of which m are outside costs m * k tests, in tasks of bounded rows and items. Neither
+    candidates nor links are expanded into all pairs.
     """
+    least = REGISTERS * (percent / 100 - SLACK * np.sqrt(0.16 / REGISTERS) - 0.05)  # few pairs need the likelihood
 
     def near(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        node, hub = rows.column("node").to_numpy(), rows.column("hub").to_numpy()
-        root = dict(zip(node.tolist(), rows.column("root").to_pylist(), strict=True))
-        a, b = _meet(rows, key[1].as_py(), key[2].as_py(), percent, lambda i, k: node[i] != hub[i] and node[k] != hub[k])
-        return pa.table({"a": pa.array([root[x] for x in a], pa.int64()), "b": pa.array([root[x] for x in b], pa.int64())})
+        node, hub, n, root = (rows.column(c).to_numpy() for c in ("node", "hub", "n", "root"))
+        regs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+        def linked(i: int, j: np.ndarray) -> np.ndarray:
+            j = j[(node[j] != hub[j]) & (node[i] != hub[i])]  # the hub's pairs are tested
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
+            same = (regs[j] == regs[i]).sum(1)
+            j, same = j[same >= least], same[same >= least]
+            if not len(j):
+                return j
+            # the closest node of each component first: where it is plausible, the component's others need no estimate
+            order = np.lexsort((-same, root[j]))
+            j = j[order]
+            first = np.ones(len(j), bool)
+            first[1:] = root[j][1:] != root[j][:-1]
+            heads = j[first]
+            ok = likely(i, heads)
+            rest = j[~first & ~np.isin(root[j], root[heads[ok]])]
+            return np.concatenate([heads[ok], rest[likely(i, rest)]])
+
+        def likely(i: int, j: np.ndarray) -> np.ndarray:
+            if not len(j):
+                return np.zeros(0, bool)
+            return plausible(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)
+
+        a, b = _meet(rows, linked)
+        return pa.table({"a": pa.array(root[a], pa.int64()), "b": pa.array(root[b], pa.int64())})
 
     def exact(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        sets = rows.column("items").combine_chunks()
-        flat, edge = sets.values.to_numpy(), sets.offsets.to_numpy()
-
-        def linked(i: int, k: int) -> bool:
-            x, y = flat[edge[i] : edge[i + 1]], flat[edge[k] : edge[k + 1]]
-            shared = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * shared >= percent * (len(x) + len(y) - shared)
-
-        a, b = _meet(rows, key[1].as_py(), key[2].as_py(), percent, linked)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        items = rows.column("items").combine_chunks()
+        edge = items.offsets.to_numpy().astype(np.int64)
+        flat = items.values.to_numpy()
+        every, place = np.unique(flat, return_inverse=True)
+        sizes, node, mark = np.diff(edge), rows.column("node").to_numpy(), np.zeros(len(every), bool)
+        right = np.flatnonzero(~rows.column("is_left").to_numpy())
+        theirs = ragged(place, edge[:-1][right], sizes[right])
+        starts, nth = offsets_of(sizes[right])[:-1], np.zeros(len(sizes), np.int64)
+        nth[right] = np.arange(len(right))
+
+        def linked(i: int, j: np.ndarray) -> np.ndarray:
+            mine = place[edge[i] : edge[i + 1]]
+            mark[mine] = True
+            shared = np.add.reduceat(mark[theirs], starts, dtype=np.int64)[nth[j]]
+            mark[mine] = False
+            return j[100 * shared >= percent * (sizes[i] + sizes[j] - shared)]
+
+        a, b = _meet(rows, linked)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64())})
 
     slim = nodes.select("node", "registers", "n")
-    members = stage(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-members")
-    torn = members.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("k")).filter("x != y AND k > 2")
-    torn = stage(torn.select("bucket", "k", _blocks()), "near-torn")
-    total = members.count()
-    meets = _dealt_in_blocks(members, "bucket", torn, total).join(slim, "node")
-    touching = meets.groupBy("bucket", "one", "two").applyInArrow(near, "a long, b long").distinct()
+    members = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = stage(members.withColumn("n", F.lit(0)), "near-members")  # registers alone meet here
+    torn = stage(_torn(members, "bucket").filter("k > 2"), "near-torn")  # of two nodes, one is the hub
+    meets = _dealt_in_blocks(members, "bucket", torn, members.count()).join(slim, "node")
+    touching = meets.groupBy("bucket", "l", "r").applyInArrow(near, "a long, b long").distinct()
     clusters = stage(components(touching).select(F.col("node").alias("root"), F.col("root").alias("cluster")), "near-clusters")
     in_torn = members.join(torn.select("bucket"), "bucket", "left_semi").select("node", "root").distinct()
-    inside = stage(in_torn.join(clusters, "root").select("node", "root", "cluster"), "near-inside")
-    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).select("cluster", "k", _blocks())
-    wanted = inside.select("node").join(nodes.select("node", "text_hash"), "node").select("text_hash").distinct()
-    sets = stage(full_sets(docs, size, wanted), "near-sets")
-    met = _dealt_in_blocks(inside, "cluster", sizes, inside.count()).join(slim, "node").join(sets, "node")
-    return met.groupBy("cluster", "one", "two").applyInArrow(exact, "a long, b long")
+    inside = in_torn.join(clusters, "root").join(nodes.select("node", "n", "text_hash"), "node")
+    inside = stage(inside.select("node", "root", "cluster", "n", "text_hash"), "near-inside")
+    sets = stage(full_sets(docs, size, inside.select("text_hash").distinct()), "near-sets")
+    sizes = stage(_torn(inside, "cluster"), "near-sizes")
+    met = _dealt_in_blocks(inside.drop("text_hash"), "cluster", sizes, inside.count()).join(sets, "node")
+    return met.groupBy("cluster", "l", "r").applyInArrow(exact, "a long, b long")
 
 
 def near_components(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:

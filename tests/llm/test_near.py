@@ -78,3 +78,15 @@ def test_connected(spark, shape):
             root[a] = root[b] = min(root[a], root[b])
     got = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.root for r in got} == root and len(got) == len(root)
+
+
+def test_only_nodes_beside_the_largest_component_are_dealt_to_all(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    members = spark.createDataFrame([(1, i, 0 if i < 400 else i, 1) for i in range(420)] + [(2, i, 7, 1) for i in range(50)], "bucket long, node long, root long, n long")
+    torn = near_dedup._torn(members, "bucket")
+    assert [(r.bucket, r.k, r.top) for r in torn.collect()] == [(1, 420, 0)]
+    dealt = near_dedup._dealt_in_blocks(members, "bucket", torn, 470)
+    tasks = dealt.groupBy("l", "r").count().collect()
+    assert len(tasks) == 2 * 27 and max(r["count"] for r in tasks) < 16 * 5
+    pairs = dealt.filter("is_left").alias("x").join(dealt.filter("NOT is_left").alias("y"), ["l", "r"]).selectExpr("x.node a", "y.node b")
+    assert pairs.count() == pairs.distinct().count() == 20 * 420
