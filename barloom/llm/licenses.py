@@ -44,8 +44,29 @@ HEADERS = [
     ("MIT", "MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 ]
-#: A licence by its identifier: SPDX-License-Identifier: MIT.
-SPDX = r"(?i)spdx-license-identifier:[ \t]*([a-z0-9][a-z0-9.+-]*)"
+#: Titles at the head of licence texts that are files of many pages: a paragraph of its own there.
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
+_ID = r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
+#: A licence by an expression of identifiers: SPDX-License-Identifier: MIT OR Apache-2.0.
+SPDX = rf"(?i)spdx-license-identifier:[ \t]*(\(*{_ID}\)*(?:[ \t]+(?:and|or|with)[ \t]+\(*{_ID}\)*)*)"
+#: Identifiers in use, in lower case; others are no licence, but for those that a project names by LicenseRef-.
+IDENTIFIERS = """0bsd afl-3.0 agpl-3.0 agpl-3.0-only agpl-3.0-or-later apache-1.1 apache-2.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause
+bsd-2-clause bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 cc-by-3.0 cc-by-4.0 cc-by-nc-4.0 cc-by-nc-nd-4.0 cc-by-nc-sa-4.0
+cc-by-nd-4.0 cc-by-sa-3.0 cc-by-sa-4.0 cc0-1.0 cddl-1.0 cddl-1.1 cecill-2.1 ecl-2.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 gfdl-1.3-only
+gfdl-1.3-or-later gpl-1.0-only gpl-1.0-or-later gpl-2.0 gpl-2.0-only gpl-2.0-or-later gpl-3.0 gpl-3.0-only gpl-3.0-or-later isc lgpl-2.0-only
+lgpl-2.0-or-later lgpl-2.1 lgpl-2.1-only lgpl-2.1-or-later lgpl-3.0 lgpl-3.0-only lgpl-3.0-or-later lppl-1.3c mit mit-0 mpl-1.1 mpl-2.0 ms-pl
+ms-rl mulanpsl-2.0 ncsa odbl-1.0 ofl-1.1 openssl osl-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby unicode-3.0 unlicense upl-1.0 vim
+w3c wtfpl x11 zlib zpl-2.1""".split()
+#: A statement that denies the licence it names.
+DENIED = r"(?i)\bnot\s+(?:be\s+)?(?:licen[cs]ed|released|covered|distributed|available)\b"
 #: A line with one of these is a statement.
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution and use|public domain"
 #: File names that make a licence file.
@@ -69,8 +90,8 @@ def template_rows(spark: SparkSession, templates: list[tuple[str, str]]) -> Data
 
 
 def statements(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """path, passage: every distinct line with a cue, of whole texts; for licence files by name also the whole text."""
-    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(CUE))
+    """path, passage: every distinct line with a cue that denies nothing, of whole texts; for licence files by name also the whole text."""
+    lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(CUE) & ~x.rlike(DENIED))
     whole = F.when(F.coalesce(F.col(path).rlike(NAMED), F.lit(False)), F.array(F.coalesce(F.col(text), F.lit("")))).otherwise(F.array().cast("array<string>"))
     some = files.filter(F.col(text).rlike(CUE) | F.col(path).rlike(NAMED))
     return some.select(F.col(path).alias("path"), F.explode(F.array_distinct(F.concat(lines, whole))).alias("passage"))
@@ -104,20 +125,38 @@ def match(passages: DataFrame, templates: DataFrame, least: float = LEAST) -> Da
 def blocks(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, passage: paragraphs of several lines with a cue, and whole texts with a cue that are not much longer than a licence."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    some = F.filter(F.split(whole, r"\n[ \t\r]*\n"), lambda x: x.rlike(CUE) & x.contains("\n"))
+    some = F.filter(F.split(whole, r"\n[ \t\r]*\n"), lambda x: x.rlike(CUE) & ~x.rlike(DENIED) & x.contains("\n"))
     full = F.when(F.col(path).rlike(NAMED) | (n_words(whole) <= 2 * max(len(t.split()) for _, t in HEADERS)), F.array(whole)).otherwise(F.array().cast("array<string>"))
     return files.filter(F.col(text).rlike(CUE)).select(F.col(path).alias("path"), F.explode(F.array_distinct(F.concat(some, full))).alias("passage"))
 
 
+def identified(files: DataFrame) -> DataFrame:
+    """path, license of files (path, text) with SPDX expressions of known identifiers: as written, several joined by AND."""
+    said = F.array_distinct(F.regexp_extract_all("text", F.lit(SPDX), F.lit(1)))
+    known = [F.lit(x) for x in IDENTIFIERS]
+
+    def valid(said: Column) -> Column:
+        ids = F.regexp_extract_all(F.regexp_replace(F.lower(said), rf"[ \t]+with[ \t]+{_ID}", ""), F.lit(_ID), F.lit(0))
+        return F.forall(ids, lambda x: x.isin("and", "or") | F.array_contains(F.array(*known), F.rtrim(x, F.lit("+"))) | x.startswith("licenseref-"))
+
+    def inside(said: Column) -> Column:
+        return F.when(F.lower(said).contains(" or "), F.concat(F.lit("("), said, F.lit(")"))).otherwise(said)
+
+    found = files.filter(F.col("text").rlike(SPDX)).select("path", F.filter(said, valid).alias("said")).filter(F.size("said") > 0)
+    whole = F.when(F.size("said") == 1, F.element_at("said", 1)).otherwise(F.array_join(F.transform("said", inside), " AND "))
+    return found.select("path", whole.alias("license"))
+
+
 def long_forms(files: DataFrame, least: float) -> DataFrame:
-    """path, license, cosine, said of files with an SPDX identifier (cosine 1) or a block like one of HEADERS."""
+    """path, own_license, cosine, said of files with a block like one of HEADERS or TITLES.
+
+    A null text has none; the best cosine counts, then the first licence in order; no rows give no rows.
+    """
     found = stage(blocks(files), "license-blocks")
-    rated = match(found, template_rows(files.sparkSession, HEADERS), least)
+    rated = match(found, template_rows(files.sparkSession, HEADERS + TITLES), least)
     counts = found.groupBy("passage").agg(F.count(F.lit(1)).alias("n")).join(rated, "passage")
     like = left_join_hot(found, counts, "passage", "n", found.count(), F.xxhash64("path")).filter(F.col("license").isNotNull())
-    like = like.select("path", "license", "cosine", n_words(F.col("passage")).alias("said"))
-    named = files.filter(F.col("text").rlike(SPDX)).select("path", F.regexp_extract("text", SPDX, 1).alias("license"), F.lit(1.0).alias("cosine"), F.lit(2).alias("said"))
-    every = like.unionByName(named).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "license")).alias("b"), F.max("said").alias("said"))
+    every = like.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "license")).alias("b"), F.max(n_words(F.col("passage"))).alias("said"))
     return every.select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("cosine"), "said")
 
 
@@ -144,8 +183,13 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
     words = n_words(F.col("passage"))
     per_file = hits.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("m"), "license")).alias("b"), F.sum(words).alias("said"))
     short = stage(per_file.select("path", F.col("b.license").alias("own_license"), (-F.col("b.m")).alias("cosine"), "said"), "license-short")
-    # files without a notice of one line: identifiers, headers and licence texts
-    own = stage(short.unionByName(long_forms(rows, least).join(short.select("path"), "path", "left_anti")), "license-own")
+    # an identifier goes before a notice; files with neither: headers, licence texts and their titles
+    ids = stage(identified(rows), "license-ids").groupBy("path").agg(F.min("license").alias("id"))
+    stated = short.join(ids, "path", "full").select(
+        "path", F.coalesce("id", "own_license").alias("own_license"), F.when(F.col("id").isNotNull(), F.lit(1.0)).otherwise(F.col("cosine")).alias("cosine"),
+        (F.coalesce("said", F.lit(0)) + F.when(F.col("id").isNotNull(), F.lit(2)).otherwise(F.lit(0))).alias("said"))
+    stated = stage(stated, "license-stated")
+    own = stage(stated.unionByName(long_forms(rows, least).join(stated.select("path"), "path", "left_anti")), "license-own")
     sizes = rows.select("path", n_words(F.col("text")).alias("n_words"), F.element_at(ancestors(F.col("path")), 1).alias("dir"))
     judged = stage(sizes.join(own, "path", "left"), "license-files")
     declares = F.col("own_license").isNotNull() & (F.col("path").rlike(NAMED) | (F.col("said") >= SHARE * F.col("n_words")))
@@ -164,6 +208,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] | None = None, least
 def oracle() -> str:
     """The scan of documents as files /source/lang/doc_id, as SQL."""
     values = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(TEMPLATES))
+    known = ", ".join(f"'{x}'" for x in IDENTIFIERS)
     return rf"""
 WITH files AS (
   SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', '', source, lang, doc_id::VARCHAR) AS path,
@@ -171,7 +216,7 @@ WITH files AS (
 f AS (SELECT *, CASE WHEN dir0 = '' THEN '/' ELSE dir0 END AS dir, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n_words FROM files),
 said AS (
   SELECT DISTINCT path, l AS passage FROM (SELECT path, unnest(string_split(text, chr(10))) AS l FROM f)
-  WHERE regexp_matches(l, '{CUE[4:]}', 'i')),
+  WHERE regexp_matches(l, '{CUE[4:]}', 'i') AND NOT regexp_matches(l, '{DENIED[4:]}', 'i')),
 t(template, license, passage) AS (VALUES {values}),
 terms AS (
   SELECT passage, term, count(*) AS tf
@@ -195,9 +240,22 @@ best AS (
   SELECT passage, license, cosine FROM c WHERE cosine >= {LEAST}
   QUALIFY row_number() OVER (PARTITION BY passage ORDER BY cosine DESC, license) = 1),
 hit AS (SELECT path, license, cosine, len(regexp_extract_all(passage, '[^\x20\x09-\x0D]+')) AS k FROM said JOIN best USING (passage)),
-own AS (
+noticed AS (
   SELECT path, license AS own_license, cosine, sum(k) OVER (PARTITION BY path) AS said FROM hit
   QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+spdx AS (SELECT path, unnest(e) AS expr, generate_subscripts(e, 1) AS nth FROM (SELECT path, regexp_extract_all(text, '{SPDX[4:]}', 1, 'i') AS e FROM f)),
+ids AS (SELECT path, expr, nth, unnest(regexp_extract_all(regexp_replace(lower(expr), '[ \t]+with[ \t]+{_ID}', '', 'g'), '{_ID}')) AS id FROM spdx),
+valid AS (
+  SELECT path, expr, min(nth) AS nth FROM ids GROUP BY path, expr
+  HAVING bool_and(id IN ('and', 'or', {known}) OR rtrim(id, '+') IN ({known}) OR starts_with(id, 'licenseref-'))),
+named AS (
+  SELECT path, CASE WHEN count(*) = 1 THEN min(expr)
+    ELSE string_agg(CASE WHEN contains(lower(expr), ' or ') THEN '(' || expr || ')' ELSE expr END, ' AND ' ORDER BY nth) END AS id
+  FROM valid GROUP BY path),
+own AS (
+  SELECT path, coalesce(id, own_license) AS own_license, CASE WHEN id IS NULL THEN cosine ELSE 1 END AS cosine,
+         coalesce(said, 0) + CASE WHEN id IS NULL THEN 0 ELSE 2 END AS said
+  FROM noticed FULL JOIN named USING (path)),
 j AS (SELECT * FROM f LEFT JOIN own USING (path)),
 dirs AS (
   SELECT dir AS up, own_license AS dir_license, path AS from_path FROM j WHERE own_license IS NOT NULL AND said >= {SHARE} * n_words

@@ -189,3 +189,38 @@ def test_headers_and_identifiers_of_many_lines(spark):
 
 def test_license_plan_has_no_python(spark, sf):
     assert not PYTHON.search(plan(queries.op10_license_scan(spark, sf)))
+
+
+def test_license_identifiers_denials_and_long_texts(spark):
+    code = "\n" + "\n".join(f"call number {i} does nothing" for i in range(40))
+    gpl = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n" + "\n\n".join(f"Section {i} of a text\nof many pages" for i in range(300))
+    rows = [
+        ("/a/x.py", "# SPDX-License-Identifier: MIT OR Apache-2.0" + code),
+        ("/b/x.py", "Released under the MIT License.\nSPDX-License-Identifier: GPL-3.0-only" + code),
+        ("/c/x.py", "SPDX-License-Identifier: NOT-A-LICENSE" + code),
+        ("/d/x.py", "This file is not licensed under the GNU General Public License, version 3." + code),
+        ("/e/LICENSE", gpl),
+        ("/e/x.py", code),
+        ("/f/x.c", "/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 OR MIT) */" + code),
+        ("/g/x.py", "SPDX-License-Identifier: MIT OR ISC\nSPDX-License-Identifier: 0BSD" + code),
+        ("/h/x.py", "SPDX-License-Identifier: MIT AND NO-SUCH" + code),
+        ("/i/x.py", "SPDX-License-Identifier: LicenseRef-Ours." + code),
+    ]
+    got = {r.path: (r.own_license, r.license) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    alone = {p: x[0] for p, x in got.items()}
+    assert alone == {
+        "/a/x.py": "MIT OR Apache-2.0", "/b/x.py": "GPL-3.0-only", "/c/x.py": None, "/d/x.py": None, "/e/LICENSE": "GPL-3.0", "/e/x.py": None,
+        "/f/x.c": "(GPL-2.0-only WITH Classpath-exception-2.0 OR MIT)", "/g/x.py": "(MIT OR ISC) AND 0BSD", "/h/x.py": None, "/i/x.py": "LicenseRef-Ours",
+    }
+    assert got["/e/x.py"] == (None, "GPL-3.0")
+
+
+def test_license_identifiers_agree_with_sql(spark, tmp_path):
+    heads = ["SPDX-License-Identifier: MIT OR Apache-2.0", "x SPDX-License-Identifier: NOPE", "Released under the MIT License.\nSPDX-License-Identifier: GPL-3.0+", "Released under the MIT License.", "This is not licensed under the MIT License.", "SPDX-License-Identifier: ISC\nSPDX-License-Identifier: MIT or ISC", "plain"]
+    rows = [(i, h + tail, "s", "l") for i, (h, tail) in enumerate((h, t) for h in heads for t in ("", "\nand many other words in a line that says nothing"))]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op10_license_scan(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({licenses.oracle()})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
