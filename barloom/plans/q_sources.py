@@ -20,7 +20,7 @@ from barloom.plans.sqltext import W, over
 from barloom.sources import barstore as BS
 from barloom.sources import landed as LD
 from barloom.sources import messages as MS
-from barloom.sources.stage import new_path, stage_root
+from barloom.sources.stage import is_folder, new_path, stage_root
 from barloom.streaming import delivery as D
 from barloom.streaming import jobs as J
 from barloom.streaming import refresh as R
@@ -191,8 +191,10 @@ def discovered_symbols(spark, sf):
 
 
 def _stream(spark, sf, name):
-    schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    reader, path = spark.readStream.schema(V.table(spark, sf, name).schema), f"{sf}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)  # a file source reads folders only
 
 
 def _folders(spark):

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import bars_from_ticks
+from barloom.plans.catalog import QUERIES
 from barloom.sources.keyed_store import Folder
 from barloom.streaming import delivery as D
 from barloom.streaming import jobs as J
@@ -153,6 +154,19 @@ def test_dispatch_and_articles(spark, where, tmp_path):
     assert got == {(1, "A"): -1.0, (1, "B"): -1.0, (2, "A"): -1.0, (2, "B"): -1.0} and published == [4, 2]
 
 
+@pytest.mark.parametrize("kind", ["file", "folder", "partitions"])
+def test_streams_read_tables_of_one_file_or_many(spark, tmp_path, kind):
+    docs = [(0, "x" * 14, "en"), (1, "x" * 20, "de"), (2, "x" * 13, "en"), (3, "x" * 2, "de"), (4, "\u00e9" * 30, "en")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    if kind == "file":
+        df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    else:
+        writer = df.repartition(3).write
+        (writer.partitionBy("lang") if kind == "partitions" else writer).parquet(str(tmp_path / "documents.parquet"))
+    df.toPandas().to_parquet(tmp_path / "other_documents.parquet")
+    got = sorted((r.article_id, r.symbol, r.sentiment) for r in QUERIES["stream_articles"](spark, str(tmp_path)).collect())
+    assert got == [(0, "A", -0.1), (1, "A", 0.5), (1, "B", 0.5), (2, "C", None), (3, "A", -1.0), (4, "A", 1.0), (4, "B", 1.0)]
+
 
 def test_messages_are_delivered_once(spark, where, tmp_path):
     """Repeated batches, a job that ends between sending and noting, and equal messages that are meant twice."""
